@@ -1,0 +1,47 @@
+"""Connected components of an edge table by alternating large-star and small-star rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tamis.session import Scratch
+
+
+def _state(edges: DataFrame) -> tuple:
+    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).head()
+    return row["n"], row["h"]
+
+
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v) long pairs in any direction -> (u, v): each node that isn't its component's least, with that least.
+
+    A round moves every neighbour to the least node known; the number of rounds grows with the logarithm of the largest
+    component. Each round's edges are a written table, and so is each least-neighbour table: both sides of the join that
+    follows then come straight from an exchange, so a hub's edges can be split over tasks. Self loops and repeats don't matter.
+    """
+
+    def least(pairs: DataFrame, name: str) -> DataFrame:
+        return scratch.keep(pairs.groupBy("u").agg(F.min("v").alias("m")), name)
+
+    ordered = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = scratch.keep(ordered, "edges-0")
+    state, turn = _state(now), 0
+    while state[0]:
+        turn += 1
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        nearest = least(both.select("u", F.least("u", "v").alias("v")), f"large-{turn}")
+        large = scratch.keep(
+            both.join(nearest, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"mid-{turn}"
+        )
+        smallest = least(large, f"small-{turn}")
+        moved = large.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = scratch.keep(moved.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), f"edges-{turn}")
+        new = _state(after)
+        for name in (f"large-{turn}", f"mid-{turn}", f"small-{turn}", f"edges-{turn - 1}"):
+            scratch.drop(name)
+        now = after
+        if new == state:
+            break
+        state = new
+    return now

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tamis.llm import byte_bpe, sharding
+from tamis.llm import byte_bpe, decontaminate, sharding, simhash
 
 SHARDS = 24
 
@@ -19,13 +20,23 @@ def op2_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op5_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op7_window_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), "contaminated")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = byte_bpe.default_vocabulary()
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern)
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_jump_hash_shards, op10_byte_bpe)
+    found = (op2_jump_hash_shards, op5_covering_simhash, op7_window_decontamination, op10_byte_bpe)
     return {f.__name__: f for f in found}
 
 
