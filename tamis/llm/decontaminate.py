@@ -38,9 +38,14 @@ def windows(found: Column, length: int) -> Column:
     return F.when(last < 0, F.array().cast("array<array<string>>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(found, i + 1, length)))
 
 
-def hashes(found: Column, length: int) -> Column:
-    last = F.size(found) - length
-    return F.when(last < 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(found, i + 1, length))))
+def hashed(found: Column) -> Column:
+    return F.transform(found, lambda w: F.xxhash64(w))
+
+
+def window_hashes(word_hashes: Column, length: int) -> Column:
+    """A hash for each window, made from its words' hashes."""
+    last = F.size(word_hashes) - length
+    return F.when(last < 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(word_hashes, i + 1, length))))
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -51,7 +56,7 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
         found.select("item", F.explode(short).alias("gram"))
         .groupBy("gram")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
-        .select(F.xxhash64("gram").alias("hash"), F.size("gram").alias("length"), "gram", "items")
+        .select(F.xxhash64(hashed(F.col("gram"))).alias("hash"), F.size("gram").alias("length"), "gram", "items")
     )
 
 
@@ -74,10 +79,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, key: str
     grams = scratch.keep(benchmark_windows(benchmark), "windows")
     size = grams.groupBy("length").count().collect()  # one row for each length from 1 to the window
     probe = F.broadcast(grams) if sum(r["count"] for r in size) <= most_broadcast else grams
-    base = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("sig"), words(F.col(text)).alias("w"))
+    base = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("sig"), words(F.col(text)).alias("w")).withColumn("h", hashed(F.col("w")))
     parts = []
     for length in sorted(r["length"] for r in size):
-        at = base.select("key", "sig", "w", F.posexplode(hashes(F.col("w"), length)).alias("at", "hash"))
+        # a column of its own, so that exploding and probing stay in generated code and `w` isn't copied for each window
+        at = base.withColumn("hashes", window_hashes(F.col("h"), length)).select("key", "sig", "w", F.posexplode("hashes").alias("at", "hash"))
         same = F.slice("w", F.col("at") + 1, length) == F.col("gram")
         parts.append(
             at.join(probe.where(F.col("length") == length), "hash")
