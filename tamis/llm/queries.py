@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import byte_bpe, decontaminate, sharding, simhash
+from tamis.llm import byte_bpe, decontaminate, pii, secrets, sharding, simhash
 
 SHARDS = 24
 
@@ -20,6 +20,10 @@ def op2_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -30,13 +34,17 @@ def op7_window_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), "contaminated")
 
 
+def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = byte_bpe.default_vocabulary()
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern)
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_jump_hash_shards, op5_covering_simhash, op7_window_decontamination, op10_byte_bpe)
+    found = (op2_jump_hash_shards, op4_trigram_secrets, op5_covering_simhash, op7_window_decontamination, op9_weak_pii, op10_byte_bpe)
     return {f.__name__: f for f in found}
 
 
