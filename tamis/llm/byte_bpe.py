@@ -278,3 +278,16 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(key, digest(F.col(text)).alias("d")).select(key, "d.*")
+
+
+def tokenise(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key, n_tokens, ids, and whether the ids decode to the text, of every row; null and empty texts have no ids."""
+
+    @F.pandas_udf("ids array<int>, exact boolean")
+    def coded(texts: pd.Series) -> pd.DataFrame:
+        coder = codec(path, pattern)
+        ids = [coder.encode(t or "") for t in texts]
+        exact = [coder.raw(row) == (t or "").encode("utf-8", "surrogatepass") for row, t in zip(ids, texts)]
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "exact": exact})
+
+    return docs.select(key, coded(F.col(text)).alias("c")).select(key, F.size("c.ids").cast("long").alias("n_tokens"), "c.ids", "c.exact")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import byte_bpe, decontaminate, pii, secrets, sharding, simhash
+from tamis.llm import byte_bpe, decontaminate, knn, pii, quality, secrets, sharding, simhash, token_rollup, toxicity
+from tamis.session import Scratch
 
 SHARDS = 24
 
@@ -16,10 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = quality.held_out(F.col("doc_id"), 3, 1)
+    scored = quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op2_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = quality.held_out(F.col("doc_id"), 4, 2)
+    scored = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -28,12 +41,31 @@ def op5_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads every document at a byte estimate, revises the counts by two tokenizer versions, withdraws texts of fewer than 5 words."""
+    scratch = Scratch(spark, "token-rollup")
+    versions = {v: token_rollup.count_matches(F.col("text"), p) for v, p in token_rollup.VERSIONS.items()}
+    counts = scratch.keep(token_rollup.measured(table(spark, sf_dir, "documents"), versions), "counts")
+    exact = {v: {"tokens": f"n_{i}", "was": "estimate"} for i, v in enumerate(versions)}
+    loaded = token_rollup.by_version(counts, {v: {"tokens": "estimate"} for v in versions})
+    rollup = token_rollup.TokenRollup(spark, scratch.path("totals"))
+    rollup.commit(1, token_rollup.inserted(loaded))
+    rollup.commit(2, token_rollup.revised(token_rollup.by_version(counts, exact)))
+    rollup.commit(3, token_rollup.deleted(token_rollup.by_version(counts.where("n_0 < 5"), exact)))
+    rollup.commit(2, token_rollup.revised(token_rollup.by_version(counts, exact)))  # a replay, which changes nothing
+    return rollup.totals()
+
+
 def op7_window_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), "contaminated")
 
 
+def op8_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -44,9 +76,39 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_jump_hash_shards, op4_trigram_secrets, op5_covering_simhash, op7_window_decontamination, op9_weak_pii, op10_byte_bpe)
+    found = (
+        op1_bradley_terry_quality, op2_jump_hash_shards, op3_weak_toxicity, op4_trigram_secrets, op5_covering_simhash,
+        op6_token_rollup, op7_window_decontamination, op8_voronoi_top_k, op9_weak_pii, op10_byte_bpe,
+    )
     return {f.__name__: f for f in found}
 
 
+#: The same counts in the oracle's own regular expressions.
+_WORDS_1, _WORDS_2 = r"[^ \t\n\x0B\f\r]+", r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x00-\x20]"
+ORACLES = {
+    "op6_token_rollup": rf"""
+        with counted as (
+            select source, lang,
+                   len(regexp_extract_all(coalesce(text, ''), '{_WORDS_1}')) as n1,
+                   len(regexp_extract_all(coalesce(text, ''), '{_WORDS_2}')) as n2
+            from documents)
+        select source, lang, 'words-1' as version, count(*) as docs, cast(sum(n1) as bigint) as tokens
+        from counted where n1 >= 5 group by source, lang
+        union all
+        select source, lang, 'words-2', count(*), cast(sum(n2) as bigint) from counted where n1 >= 5 group by source, lang""",
+    "op8_voronoi_top_k": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e
+            from embeddings
+            where embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+        scored as (
+            select q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.e as double[]), cast(c.e as double[])) as bigint) as score
+            from v q, v c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id)
+        select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+        from scored qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20""",
+}
+
+
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

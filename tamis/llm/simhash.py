@@ -94,3 +94,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def _hex(word: Column) -> Column:
     return F.lower(F.lpad(F.hex(word), 16, "0"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each near-duplicate group, with its columns: the one with the least key, of equal keys one row.
+
+    Rows without a key are no copies to each other unless their texts link; then a row with a key stays if there is one.
+    """
+    scratch = Scratch(docs.sparkSession, "representatives")
+    held = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "held")
+    classes = near_duplicates(held.select(key, text, "__row"), key="__row", text=text)
+    classes = scratch.keep(classes.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__class")), "classes")
+    known = held.select("__row", F.col(key).alias("__key")).join(classes, "__row")
+    first = known.groupBy("__class").agg(F.min(F.struct(F.col("__key").isNull(), "__key", "__row")).alias("f")).select(F.col("f.__row").alias("__row"))
+    return held.join(scratch.keep(first, "first"), "__row", "left_semi").select(*docs.columns)
