@@ -82,8 +82,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, key: str
     base = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("sig"), words(F.col(text)).alias("w")).withColumn("h", hashed(F.col("w")))
     parts = []
     for length in sorted(r["length"] for r in size):
-        # a column of its own, so that exploding and probing stay in generated code and `w` isn't copied for each window
-        at = base.withColumn("hashes", window_hashes(F.col("h"), length)).select("key", "sig", "w", F.posexplode("hashes").alias("at", "hash"))
+        # a column of its own, so that exploding and probing stay in generated code and `w` isn't copied for each window; outer,
+        # since else Spark tests the array's size below and works out the words' hashes again for each window
+        at = base.withColumn("hashes", window_hashes(F.col("h"), length)).select("key", "sig", "w", F.posexplode_outer("hashes").alias("at", "hash"))
         same = F.slice("w", F.col("at") + 1, length) == F.col("gram")
         parts.append(
             at.join(probe.where(F.col("length") == length), "hash")
