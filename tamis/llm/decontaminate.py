@@ -133,11 +133,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, columns: Iterable[str], key: s
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     hits = scratch.keep(find_hits(docs, benchmark, scratch, key, text), "hits")
-    hits = hits.withColumnRenamed("key", "hit_key").withColumnRenamed("sig", "hit_sig").drop("items")
-    joined = docs.join(hits, F.col(key).eqNullSafe(F.col("hit_key")) & (F.xxhash64(text) == F.col("hit_sig")), "left")
+    hits = hits.select(F.col("key").alias("__hit_key"), F.col("sig").alias("__hit_sig"), F.col("spans").alias("__hit"))
+    joined = docs.join(hits, F.col(key).eqNullSafe(F.col("__hit_key")) & (F.xxhash64(text) == F.col("__hit_sig")), "left")
     pieces = F.regexp_extract_all(F.col(text), F.lit(f"({RAW_WORD}+{RAW_GAP}*)"), 1)
-    hit = lambda i: F.exists("spans", lambda s: (i >= s["at"]) & (i < s["at"] + s["length"]))
+    hit = lambda i: F.exists("__hit", lambda s: (i >= s["at"]) & (i < s["at"] + s["length"]))
     rest = F.concat(F.regexp_extract(text, f"^{RAW_GAP}*", 0), F.array_join(F.filter(pieces, lambda p, i: ~hit(i)), ""))
-    share = _covered(F.col("spans")) / F.size(words(F.col(text)))
-    kept = joined.where(F.col("spans").isNull() | (share <= most_share))
-    return kept.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(rest)).select(*columns)
+    share = _covered(F.col("__hit")) / F.size(words(F.col(text)))
+    kept = joined.where(F.col("__hit").isNull() | (share <= most_share))
+    return kept.withColumn(text, F.when(F.col("__hit").isNull(), F.col(text)).otherwise(rest)).select(*columns)
