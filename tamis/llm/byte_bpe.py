@@ -20,13 +20,17 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: States or cached strings beyond which a worker starts its tables anew.
-MOST_STATES, MOST_CACHED = 250_000, 400_000
+MOST_STATES, MOST_CACHED = 100_000, 150_000
+#: Rows whose texts are Python strings at a time.
+ROWS = 256
 #: Pieces that are encoded at a time, so that a very long text is never held as one list of ids.
 BLOCK = 1 << 16
 NONE, NEVER = -1, 1 << 62
@@ -262,20 +266,21 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
     Null and empty texts: no tokens, hashes of nothing. Repeated rows are kept; other columns are ignored.
     """
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    def digest(texts: pa.Array) -> pa.Array:
         coder = codec(path, pattern)
         rows = []
-        for t in texts:
-            n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
-            for block in coder.blocks(t or ""):
-                n += len(block)
-                back.update(coder.raw(block))
-                if sys.byteorder == "big":
-                    block.byteswap()
-                ids.update(block.tobytes())
-            rows.append((n, ids.hexdigest(), back.hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        for at in range(0, len(texts), ROWS):
+            for t in texts.slice(at, ROWS).to_pylist():
+                n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
+                for block in coder.blocks(t or ""):
+                    n += len(block)
+                    back.update(coder.raw(block))
+                    if sys.byteorder == "big":
+                        block.byteswap()
+                    ids.update(block.tobytes())
+                rows.append({"n_tokens": n, "ids_sha256": ids.hexdigest(), "decoded_sha256": back.hexdigest()})
+        return pa.array(rows, pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
 
     return docs.select(key, digest(F.col(text)).alias("d")).select(key, "d.*")
 
@@ -283,11 +288,18 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
 def tokenise(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, n_tokens, ids, and whether the ids decode to the text, of every row; null and empty texts have no ids."""
 
-    @F.pandas_udf("ids array<int>, exact boolean")
-    def coded(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<ids:array<int>,exact:boolean>")
+    def coded(texts: pa.Array) -> pa.Array:
         coder = codec(path, pattern)
-        ids = [coder.encode(t or "") for t in texts]
-        exact = [coder.raw(row) == (t or "").encode("utf-8", "surrogatepass") for row, t in zip(ids, texts)]
-        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "exact": exact})
+        ids, ends, exact = array("I"), [0], []
+        for at in range(0, len(texts), ROWS):
+            for t in texts.slice(at, ROWS).to_pylist():
+                start = len(ids)
+                for block in coder.blocks(t or ""):
+                    ids.extend(block)
+                ends.append(len(ids))
+                exact.append(coder.raw(memoryview(ids)[start:]) == (t or "").encode("utf-8", "surrogatepass"))
+        flat = pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(exact, pa.bool_())], ["ids", "exact"])
 
     return docs.select(key, coded(F.col(text)).alias("c")).select(key, F.size("c.ids").cast("long").alias("n_tokens"), "c.ids", "c.exact")
