@@ -15,6 +15,7 @@ import codecs
 import hashlib
 import re
 import sys
+import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: States or cached strings beyond which a worker starts its tables anew.
-MOST_STATES, MOST_CACHED = 100_000, 150_000
+MOST_STATES, MOST_CACHED = 250_000, 500_000
 #: Rows whose texts are Python strings at a time.
 ROWS = 256
 #: Pieces that are encoded at a time, so that a very long text is never held as one list of ids.
@@ -66,7 +67,7 @@ class Transducer:
     def forget(self) -> None:
         self.states: list[tuple[tuple[int, int], ...]] = []
         self.number: dict[tuple[tuple[int, int], ...], int] = {}
-        self.moves: dict[int, tuple[int, tuple[int, ...], int, int]] = {}
+        self.moves = _Made(self._determinise)
         self.suits.clear()
         self._state(((0, NONE),))
 
@@ -129,7 +130,8 @@ class Transducer:
             else:
                 left = self._halves(left)[1]
 
-    def _determinise(self, state: int, b: int) -> tuple[int, tuple[int, ...], int, int]:
+    def _determinise(self, at: int) -> tuple[int, tuple[int, ...], int, int]:
+        state, b = at >> 8, at & 255
         kept, places, follows, new = [], [], NONE, NONE
         for i, (node, last) in enumerate(self.states[state]):  # the earliest place first, so the longest token
             below = self.child.get((node, b))
@@ -142,9 +144,7 @@ class Transducer:
             if below in self.inner:
                 kept.append(i)
                 places.append((below, last))
-        move = self._state((*places, (0, new))), tuple(kept), follows, new
-        self.moves[state << 8 | b] = move
-        return move
+        return self._state((*places, (0, new))), tuple(kept), follows, new
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
@@ -154,12 +154,12 @@ class Transducer:
             self.forget()
         out: list[int] = []
         state, moves, registers = 0, self.moves, [()]
-        for n, b in enumerate(piece):
-            state, kept, follows, token = moves.get(state << 8 | b) or self._determinise(state, b)
-            now = (*registers[follows], token)
-            registers = [registers[i] for i in kept]
-            registers.append(now)
-            if n & 63 == 63:
+        for at in range(0, len(piece), 64):
+            for b in piece[at : at + 64]:
+                state, kept, follows, token = moves[state << 8 | b]
+                now = registers[follows] + (token,)
+                registers = [*[registers[i] for i in kept], now] if kept else [now]
+            if len(piece) > 64:  # what all registers share is certain
                 certain = 0
                 while all(len(r) > certain and r[certain] == now[certain] for r in registers) and certain < len(now):
                     certain += 1
@@ -168,6 +168,18 @@ class Transducer:
         return (*out, *registers[-1])
 
 
+class _Made(dict):
+    """Values made when first asked for."""
+
+    def __init__(self, make: Callable[[int], tuple]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: int) -> tuple:
+        value = self[key] = self.make(key)
+        return value
+
+
 class _Ids(dict):
     """Ids of short strings, made when first met, up to a bounded number of them."""
 
@@ -184,24 +196,38 @@ class _Ids(dict):
         return ids
 
 
+#: Characters below this one have the letters, numbers and white space of every Unicode version since 5.0.
+STABLE = 0x250
+SPACES = "\t\n\x0b\x0c\r \x85\xa0"
+
+
+def narrow_pattern(pattern: str) -> re.Pattern | None:
+    """The pattern for texts of stable characters alone, with its properties spelt out; None if it uses others."""
+    of = lambda kind: "".join(re.escape(chr(c)) for c in range(STABLE) if unicodedata.category(chr(c))[0] == kind)
+    letters, numbers, spaces = of("L"), of("N"), "".join(map(re.escape, SPACES))
+    spelt = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]")
+    for name, chars in ((r"\p{L}", f"[{letters}]"), (r"\p{N}", f"[{numbers}]"), (r"\s", f"[{spaces}]"), (r"\S", f"[^{spaces}]")):
+        spelt = spelt.replace(name, chars)
+    return None if r"\p" in spelt else re.compile(spelt)
+
+
 class Codec:
     """Encoder and decoder of one vocabulary.
 
-    Where a text has no white space but spaces and line feeds, no match of the pattern crosses the start of a run of these,
-    so the text may be cut there first and the short chunks looked up; other texts are matched as they are.
+    Texts of stable characters are cut by the standard library, others by the pattern as it is; ids of pieces are looked up.
     """
 
-    CHUNK, ODD_SPACE = re.compile(r"[ \n]*[^ \n]+|[ \n]+"), re.compile(r"[^\S \n]")
+    OTHER = re.compile(f"[^\\x00-{chr(STABLE - 1)}]")
 
     def __init__(self, path: str, pattern: str):
         self.fst = Transducer(read_ranks(path))
-        self.pattern = regex.compile(pattern)
+        self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.narrow = narrow_pattern(pattern) or self.pattern
         self.pieces = _Ids(lambda piece: self.fst.encode_piece(piece.encode("utf-8", "surrogatepass")))
-        self.chunks = _Ids(lambda chunk: tuple(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(chunk)))))
 
     def blocks(self, text: str) -> Iterator[array]:
         """Ids of a text, a bounded number of parts at a time."""
-        cut, ids = (self.pattern, self.pieces) if self.ODD_SPACE.search(text) else (self.CHUNK, self.chunks)
+        cut, ids = (self.pattern if self.OTHER.search(text) else self.narrow), self.pieces
         if len(text) <= BLOCK:
             yield array("I", chain.from_iterable(map(ids.__getitem__, cut.findall(text))))
             return
