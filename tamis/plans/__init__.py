@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tamis.plans import corpus, relational
+
 
 def registry() -> dict:
-    return {}
+    return {**corpus.QUERIES, **relational.QUERIES}
 
 
 def oracles() -> dict:
-    return {}
+    return {**corpus.ORACLES, **relational.ORACLES}
