@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tamis.plans import corpus, relational
+from tamis.plans import chats, corpus, measures, relational
+
+FAMILIES = (corpus, chats, measures, relational)
 
 
 def registry() -> dict:
-    return {**corpus.QUERIES, **relational.QUERIES}
+    return {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 
 
 def oracles() -> dict:
-    return {**corpus.ORACLES, **relational.ORACLES}
+    return {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}

@@ -23,7 +23,7 @@ def plain(value):
     return round(value, 6) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", sorted(plans.registry()))
+@pytest.mark.parametrize("name", sorted(plans.oracles()))
 def test_query_equals_its_oracle(spark, sf_dir, sql, name):
     got = plans.registry()[name](spark, sf_dir)
     want = sql.sql(plans.oracles()[name])
@@ -33,6 +33,11 @@ def test_query_equals_its_oracle(spark, sf_dir, sql, name):
     assert rows == sorted(repr(tuple(plain(r[i]) for i in places)) for r in want.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(set(plans.registry()) - set(plans.oracles())))
+def test_query_without_oracle_runs(spark, sf_dir, name):
+    assert plans.registry()[name](spark, sf_dir).count() > 0
+
+
 def test_gates_fail_in_order(spark):
     english = "the cat and the dog are in the house with all of them " * 5
     rows = [("", "empty"), (None, "empty"), ("short", "too_short"), ("пример текста " * 20, "non_ascii"), ("lorem ipsum dolor " * 20, "not_english"), (english, None)]
