@@ -28,8 +28,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: States or cached strings beyond which a worker starts its tables anew.
-MOST_STATES, MOST_CACHED = 250_000, 500_000
+#: States and token pairs beyond which a worker starts those tables anew, and cached strings beyond which it lets the older half go.
+MOST_STATES, MOST_PAIRS, MOST_CACHED = 100_000, 200_000, 250_000
 #: Rows whose texts are Python strings at a time.
 ROWS = 256
 #: Pieces that are encoded at a time, so that a very long text is never held as one list of ids.
@@ -68,7 +68,8 @@ class Transducer:
         self.states: list[tuple[tuple[int, int], ...]] = []
         self.number: dict[tuple[tuple[int, int], ...], int] = {}
         self.moves = _Made(self._determinise)
-        self.suits.clear()
+        if len(self.suits) > MOST_PAIRS:
+            self.suits.clear()
         self._state(((0, NONE),))
 
     def _state(self, places: tuple[tuple[int, int], ...]) -> int:
@@ -181,16 +182,20 @@ class _Made(dict):
 
 
 class _Ids(dict):
-    """Ids of short strings, made when first met, up to a bounded number of them."""
+    """Ids of short strings, made when first met. Of a bounded number, half are new and half are those of before; what is met again is new."""
 
     def __init__(self, make: Callable[[str], tuple[int, ...]]):
         super().__init__()
         self.make = make
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, part: str) -> tuple[int, ...]:
-        ids = self.make(part)
+        ids = self.before.pop(part, None)
+        if ids is None:
+            ids = self.make(part)
         if len(part) <= 32:
-            if len(self) > MOST_CACHED:
+            if len(self) > MOST_CACHED // 2:
+                self.before = dict(self)
                 self.clear()
             self[part] = ids
         return ids
