@@ -45,6 +45,43 @@ def test_minhash_groups_equal_brute_force(spark):
     assert minhash.near_duplicates(docs.limit(0), ["source"]).count() == 0
 
 
+def test_minhash_links_follow_the_exact_similarity(spark, monkeypatch):
+    """Texts around the bound, and texts that share a passage with each other and with a head that resembles none of them."""
+    draw = random.Random(5)
+    vocabulary = [f"{a}{b}{c}" for a in "bdgk" for b in "aeiou" for c in "lmnr"]
+    texts = []
+    for changes in (2, 3, 4, 5, 6, 7) * 6:  # similarities from 0.90 down to 0.70
+        words = draw.choices(vocabulary, k=200)
+        texts.append(" ".join(words))
+        for at in range(changes):
+            words[10 + 25 * at] = "zzz"
+        texts.append(" ".join(words))
+    passage = draw.choices(vocabulary, k=150)
+    texts.insert(0, " ".join(passage))
+    for _ in range(12):
+        own = [*passage, *draw.choices(vocabulary, k=70)]
+        texts.append(" ".join(own))
+        texts.append(" ".join([*own[:-1], "zzz"]))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if jaccard(a, texts[j]) >= 0.8:
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for few in (0, 8):
+        monkeypatch.setattr(minhash, "FEW_PAIRS", few, raising=False)
+        got = {r["doc_id"]: r["lead"] for r in minhash.near_duplicates(docs, []).collect()}
+        assert got == {i: root(i) for i in range(len(texts))}
+
+
 def test_pages_become_text():
     page = "<style>p{}</style><h1>A  b</h1><p>one<br>two &amp; <b>three</b></p><ul><li>x<ol><li>y</li></ol></li></ul><blockquote><p>q</p></blockquote><table><tr><td>1</td><td>2</td></tr></table><pre>k\n  l</pre>"
     assert page_text(page).split("\n") == ["A b", "one", "two & three", "- x", "  1. y", "> q", "1 | 2", "k", "  l"]
