@@ -109,3 +109,18 @@ def test_pipeline_keeps_its_promises(spark, sf_dir):
         kept = stage(spark, docs, sf_dir)
         assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
     assert set(registry()) == {q for q in registry() if q.startswith("op")} and len(registry()) == 10
+
+
+def test_near_copies_leave_the_pipeline(spark):
+    rng = np.random.default_rng(4)
+    vocabulary, texts = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600)], []
+    for _ in range(20):
+        words = list(rng.choice(vocabulary, 300))
+        changed = list(words)
+        for at in (50, 120, 190, 260):  # 276 of 316 shingles are shared: 0.87
+            changed[at] = "zzz"
+        texts += [" ".join(words), " ".join(changed)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (0, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
