@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The English stopwords, the scan length and the gate bounds of the hygiene rule.
+#: The English stopwords and the gate bounds of the hygiene rule.
 STOPWORDS = (
     "the be to of and a in that have i it for not on with he as you do at this but his by from "
     "they we say her she or an will my one all would there their what so up out if about who get "
     "which go me is are was were can just no yes it's don't i'm"
 )
-SCAN_CHARS, MIN_BYTES, MAX_NON_ASCII, MIN_STOPWORDS = 200_000, 200, 0.30, 0.10
+MIN_BYTES, MAX_NON_ASCII, MIN_STOPWORDS = 200, 0.30, 0.10
 #: Letters only, with one inner apostrophe.
 WORD = r"\p{L}+(?:'\p{L}+)?"
 
@@ -22,14 +22,13 @@ def words(text: Column, pattern: str = WORD) -> Column:
 
 def non_ascii_letter_ratio(text: Column) -> Column:
     """Share of letters that aren't A-Z or a-z; 0 without letters."""
-    head = F.substring(text, 1, SCAN_CHARS)
-    letters, plain = F.regexp_count(head, F.lit(r"\p{L}")), F.regexp_count(head, F.lit("[A-Za-z]"))
+    letters, plain = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit("[A-Za-z]"))
     return F.when(letters > 0, (letters - plain) / letters).otherwise(F.lit(0.0))
 
 
 def stopword_ratio(text: Column) -> Column:
     """Share of words that are English stopwords; 0 without words."""
-    found = words(F.substring(text, 1, SCAN_CHARS))
+    found = words(text)
     stop = F.array(*map(F.lit, STOPWORDS.split()))
     hits = F.size(F.filter(found, lambda w: F.array_contains(stop, w)))
     return F.when(F.size(found) > 0, hits / F.size(found)).otherwise(F.lit(0.0))

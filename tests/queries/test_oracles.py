@@ -62,3 +62,11 @@ def test_results_do_not_depend_on_partitions(spark, sf_dir):
 def test_prefix_takes_the_shorter_of_equally_close(spark):
     rows = spark.createDataFrame([("g", 1, 10), ("g", 2, 10), ("g", 3, 10)], "g string, id int, size int")
     assert [tuple(r) for r in sampling.closest_prefix(rows, "g", ["id"], "size", 15.0).collect()] == [("g", 1, 10)]
+
+
+def test_gates_read_whole_texts(spark):
+    english, foreign, junk = "the cat and the dog are in the house " * 6000, "пример текста " * 16000, "lorem ipsum dolor " * 150000
+    rows = [(english + foreign, "non_ascii"), (english + junk, "not_english"), (foreign + english * 5, None)]
+    df = spark.createDataFrame(rows, "text string, want string")
+    assert len(english) > 200_000 < len(foreign)
+    assert df.where(~T.hygiene_reason(df["text"]).eqNullSafe(df["want"])).count() == 0
