@@ -2,8 +2,9 @@
 
 Many voters look at a text: one for each word of general lexicons, one for each word beginning that the labelled learning rows
 show to be an insult of their own, and patterns over both. A generative label model estimates each voter's
-accuracy and the voters' correlations by expectation-maximisation, where labelled learning rows keep their class and all others get a
-posterior; a voter that repeats others counts for less. A linear classifier is trained on the posteriors and scores every text.
+accuracy and the voters' correlations by expectation-maximisation over the sampled labelled learning rows, whose posteriors are drawn to
+their labels; unlabelled texts don't take part yet. A voter that repeats others counts for less. A linear classifier is trained on the
+mean of posterior and label and scores every text.
 """
 
 from __future__ import annotations
