@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tamis.session import Scratch
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).head()
-    return row["n"], row["h"]
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u itself: then each v is its component's least, and no round is left to do."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    each = edges.select(ends.alias("e")).groupBy("e.x").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+    return each.where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -24,24 +26,17 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     def least(pairs: DataFrame, name: str) -> DataFrame:
         return scratch.keep(pairs.groupBy("u").agg(F.min("v").alias("m")), name)
 
+    call = scratch.fresh("components")
     ordered = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = scratch.keep(ordered, "edges-0")
-    state, turn = _state(now), 0
-    while state[0]:
+    now, turn = scratch.keep(ordered, f"{call}-edges-0"), 0
+    while not _all_stars(now):
         turn += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        nearest = least(both.select("u", F.least("u", "v").alias("v")), f"large-{turn}")
-        large = scratch.keep(
-            both.join(nearest, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"mid-{turn}"
-        )
-        smallest = least(large, f"small-{turn}")
+        nearest = least(both.select("u", F.least("u", "v").alias("v")), f"{call}-large-{turn}")
+        large = both.join(nearest, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.keep(large, f"{call}-mid-{turn}")
+        smallest = least(large, f"{call}-small-{turn}")
         moved = large.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = scratch.keep(moved.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), f"edges-{turn}")
-        new = _state(after)
-        for name in (f"large-{turn}", f"mid-{turn}", f"small-{turn}", f"edges-{turn - 1}"):
-            scratch.drop(name)
-        now = after
-        if new == state:
-            break
-        state = new
+        now = scratch.keep(moved.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct(), f"{call}-edges-{turn}")
+        scratch.drop(*(f"{call}-{part}-{turn}" for part in ("large", "mid", "small")), f"{call}-edges-{turn - 1}")
     return now

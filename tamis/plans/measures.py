@@ -123,8 +123,7 @@ def constraint_audit(spark, d):
 
 def minhash_groups(spark, d):
     """Near-duplicate groups of documents; the first by source number stays."""
-    docs = _t(spark, d, "documents").withColumn("__rank", F.regexp_extract("source", "[0-9]+", 0).try_cast("int"))
-    return minhash.near_duplicates(docs, ["__rank"])
+    return minhash.near_duplicates(_t(spark, d, "documents"), [F.regexp_extract("source", "[0-9]+", 0).try_cast("int")])
 
 
 def page_texts(spark, d):

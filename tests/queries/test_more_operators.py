@@ -40,9 +40,9 @@ def test_minhash_groups_equal_brute_force(spark):
     for i in range(len(texts)):
         groups.setdefault(root(i), []).append(i)
     want = {i: (min(g, key=lambda k: (k % 4 != 1, k)), len(g)) for g in groups.values() for i in g}
-    got = {r["doc_id"]: (r["lead"], r["size"]) for r in minhash.near_duplicates(docs, ["source"]).collect()}
+    got = {r["doc_id"]: (r["lead"], r["size"]) for r in minhash.near_duplicates(docs, [docs["source"]]).collect()}
     assert got == want
-    assert minhash.near_duplicates(docs.limit(0), ["source"]).count() == 0
+    assert minhash.near_duplicates(docs.limit(0), [docs["source"]]).count() == 0
 
 
 def test_minhash_links_follow_the_exact_similarity(spark, monkeypatch):
@@ -76,8 +76,8 @@ def test_minhash_links_follow_the_exact_similarity(spark, monkeypatch):
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for few in (0, 8):
-        monkeypatch.setattr(minhash, "FEW_PAIRS", few, raising=False)
+    for heads in (1, 8):
+        monkeypatch.setattr(minhash, "HEADS", heads)
         got = {r["doc_id"]: r["lead"] for r in minhash.near_duplicates(docs, []).collect()}
         assert got == {i: root(i) for i in range(len(texts))}
 
