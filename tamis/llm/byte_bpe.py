@@ -68,8 +68,6 @@ class Transducer:
         self.states: list[tuple[tuple[int, int], ...]] = []
         self.number: dict[tuple[tuple[int, int], ...], int] = {}
         self.moves = _Made(self._determinise)
-        if len(self.suits) > MOST_PAIRS:
-            self.suits.clear()
         self._state(((0, NONE),))
 
     def _state(self, places: tuple[tuple[int, int], ...]) -> int:
@@ -109,6 +107,8 @@ class Transducer:
             return self._made(right)
         found = self.suits.get((left, right))
         if found is None:
+            if len(self.suits) >= MOST_PAIRS:
+                self.suits.clear()
             found = self.suits[left, right] = self._made(right) and self._outlives(left, right)
         return found
 
@@ -249,12 +249,15 @@ class Codec:
     def raw(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.fst.bytes_of.__getitem__, ids))
 
-    def stream(self, blocks: Iterable[Iterable[int]]) -> Iterator[str]:
-        """Text of id blocks as it becomes certain: a character split over blocks waits for its last byte."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
+    def stream(self, blocks: Iterable[Iterable[int]], errors: str = "replace") -> Iterator[str]:
+        """Text of id blocks as it becomes certain, by an incremental UTF-8 state machine: a character split over blocks waits for
+        its last byte. `errors` as in bytes.decode; with "surrogateescape" bytes that aren't UTF-8 survive encoding the text again."""
+        machine = codecs.getincrementaldecoder("utf-8")(errors)
         for ids in blocks:
-            yield machine.decode(self.raw(ids))
-        yield machine.decode(b"", True)
+            if known := machine.decode(self.raw(ids)):
+                yield known
+        if rest := machine.decode(b"", True):
+            yield rest
 
 
 @lru_cache(maxsize=2)
@@ -291,8 +294,24 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     return text(ids)
 
 
+class _Seen:
+    """Count and hash of the ids that pass."""
+
+    def __init__(self):
+        self.n, self.hash = 0, hashlib.sha256()
+
+    def note(self, block: array) -> array:
+        self.n += len(block)
+        little = block
+        if sys.byteorder == "big":
+            little = array("I", block)
+            little.byteswap()
+        self.hash.update(little)
+        return block
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, n_tokens, ids_sha256 and decoded_sha256 of every row, without holding a text's ids whole.
+    """Key, n_tokens, ids_sha256 and decoded_sha256 of every row, without holding a text's ids whole; blocks are decoded as they come.
 
     Null and empty texts: no tokens, hashes of nothing. Repeated rows are kept; other columns are ignored.
     """
@@ -303,14 +322,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
         rows = []
         for at in range(0, len(texts), ROWS):
             for t in texts.slice(at, ROWS).to_pylist():
-                n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
-                for block in coder.blocks(t or ""):
-                    n += len(block)
-                    back.update(coder.raw(block))
-                    if sys.byteorder == "big":
-                        block.byteswap()
-                    ids.update(block.tobytes())
-                rows.append({"n_tokens": n, "ids_sha256": ids.hexdigest(), "decoded_sha256": back.hexdigest()})
+                seen, back = _Seen(), hashlib.sha256()
+                for known in coder.stream(map(seen.note, coder.blocks(t or "")), "surrogateescape"):
+                    back.update(known.encode("utf-8", "surrogateescape"))
+                rows.append({"n_tokens": seen.n, "ids_sha256": seen.hash.hexdigest(), "decoded_sha256": back.hexdigest()})
         return pa.array(rows, pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
 
     return docs.select(key, digest(F.col(text)).alias("d")).select(key, "d.*")
@@ -329,7 +344,8 @@ def tokenise(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text
                 for block in coder.blocks(t or ""):
                     ids.extend(block)
                 ends.append(len(ids))
-                exact.append(coder.raw(memoryview(ids)[start:]) == (t or "").encode("utf-8", "surrogatepass"))
+                back = coder.stream((memoryview(ids)[at : at + BLOCK] for at in range(start, len(ids), BLOCK)), "surrogateescape")
+                exact.append("".join(back) == (t or ""))
         flat = pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32))
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(exact, pa.bool_())], ["ids", "exact"])
 
