@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis.session import Scratch
+
 
 def first_by(rows: DataFrame, key: Column, order: list[str], keep: list[str]) -> DataFrame:
     """One row for each key: the least by `order`. The aggregate combines before its shuffle, so copies of a key don't meet in one task."""
@@ -31,3 +33,58 @@ def drop_lines(docs: DataFrame, bad: DataFrame) -> DataFrame:
     counts = marked.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("bad").alias("bad"))
     both = docs.select("doc_id").join(counts, "doc_id", "left")
     return both.select("doc_id", F.coalesce(F.col("n") - F.col("bad"), F.lit(0)).alias("kept_lines"), F.coalesce("bad", F.lit(0)).alias("dropped_lines"))
+
+
+def greedy_reasons(rows: DataFrame, order: list[str], text_key: str, id_key: str) -> DataFrame:
+    """(order..., text_key, id_key, reason): kept, dup_exact or dup_id, as one scan in order would say that lets kept rows alone claim their keys.
+
+    Each round keeps every open row that is the first of its text and of its id, and settles all that share a key with one; only chains
+    of conflicts need more rounds than one. `order` must end with a key; null keys conflict with nothing.
+    """
+    scratch = Scratch(rows.sparkSession, "greedy")
+    columns = [*order, text_key, id_key]
+    place = F.struct(*order)
+    rows = scratch.keep(rows.select(*columns), "rows")
+    open_, kept, turn = rows, None, 0
+    while not open_.isEmpty():
+        turn += 1
+        marked = open_.withColumn("place", place)
+        for key in (text_key, id_key):
+            first = marked.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("place").alias(f"first_{key}"))
+            marked = marked.join(first, key, "left")
+        leads = F.lit(True)
+        for key in (text_key, id_key):
+            leads = leads & (F.col(key).isNull() | (F.col("place") == F.col(f"first_{key}")))
+        now = scratch.keep(marked.where(leads).select(*columns), f"kept-{turn}")
+        left = open_
+        for key in (text_key, id_key):
+            left = left.join(now.where(F.col(key).isNotNull()).select(key), key, "left_anti")
+        if turn == 1:  # rows without keys are in no anti join's way, but they are kept
+            left = left.where(F.col(text_key).isNotNull() | F.col(id_key).isNotNull())
+        left = left.join(now.select(*order), order, "left_anti")
+        kept = now if kept is None else kept.unionByName(now)
+        open_ = scratch.keep(left.select(*columns), f"open-{turn}")
+    if kept is None:
+        return rows.withColumn("reason", F.lit("kept"))
+    mine = kept.select(*(F.col(c).alias(f"k_{c}") for c in order))
+    owner = kept.where(F.col(text_key).isNotNull()).select(F.col(text_key), F.struct(*order).alias("owner"))
+    known = rows.join(mine, [F.col(c) == F.col(f"k_{c}") for c in order], "left").join(owner, text_key, "left")
+    exact = F.col("owner").isNotNull() & (F.col("owner") < place)
+    reason = F.when(F.col(f"k_{order[-1]}").isNotNull(), "kept").when(exact, "dup_exact").otherwise("dup_id")
+    return known.select(*columns, reason.alias("reason"))
+
+
+def frequent_group_lines(docs: DataFrame, group: Column, least: int) -> DataFrame:
+    """(line_hash, groups) of lines in at least so many distinct groups; all of a page's versions may be one group."""
+    each = lines_of(docs.withColumn("doc_id", group)).select("doc_id", F.sha2(F.col("line").cast("binary"), 256).alias("line_hash")).distinct()
+    return each.groupBy("line_hash").agg(F.count("*").alias("groups")).where(F.col("groups") >= least)
+
+
+def without_lines(docs: DataFrame, bad: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, text) of every document without the lines of `bad`; blank lines stay. Null texts stay null; keys are unique."""
+    each = docs.select(F.col(key).alias("key"), F.posexplode_outer(F.split(F.col(text), "\n")).alias("at", "line"))
+    each = each.withColumn("line_hash", F.sha2(F.trim("line").cast("binary"), 256))
+    left = each.join(bad.select("line_hash", F.lit(True).alias("bad")), "line_hash", "left")
+    ordered = F.array_sort(F.collect_list(F.when(F.col("bad").isNull() & F.col("line").isNotNull(), F.struct("at", "line"))))
+    whole = left.groupBy("key").agg(F.max(F.col("line").isNotNull()).alias("any"), ordered.alias("lines"))
+    return whole.select(F.col("key").alias(key), F.when(F.col("any"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias(text))

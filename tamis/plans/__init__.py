@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamis.plans import chats, corpus, measures, relational
+from tamis.plans import books, chats, corpora, corpus, gates, judging, measures, relational, spine, turns
 
-FAMILIES = (corpus, chats, measures, relational)
+FAMILIES = (corpus, chats, measures, relational, gates, corpora, judging, spine, turns, books)
 
 
 def registry() -> dict:

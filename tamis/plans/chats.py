@@ -32,15 +32,17 @@ def _coded(turns: DataFrame) -> DataFrame:
 
 def code_table(spark, d):
     """Turns by failed check: all, those where it comes first, and those where it is the only one."""
-    each = _coded(_turns(spark, d)).select(F.explode("codes").alias("code"), F.col("codes")[0].alias("first"), F.size("codes").alias("n"))
-    return each.groupBy("code").agg(F.count("*").alias("hits"), F.count_if(F.col("code") == F.col("first")).alias("primary_hits"), F.count_if(F.col("n") == 1).alias("only_hits"))
+    # outer: of a plain explode Spark infers a filter on the size of `codes`, and works all of it out again there
+    each = _coded(_turns(spark, d)).select(F.explode_outer("codes").alias("code"), F.try_element_at("codes", F.lit(1)).alias("first"), F.size("codes").alias("n"))
+    return each.where("code is not null").groupBy("code").agg(F.count("*").alias("hits"), F.count_if(F.col("code") == F.col("first")).alias("primary_hits"), F.count_if(F.col("n") == 1).alias("only_hits"))
 
 
 def copy_checks(spark, d):
     """Assistant turns that hold much of their own last turn or of the user's last: shares of its distinct four-word runs."""
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     last = lambda role: F.last(F.when(F.col("role") == role, F.col("g")), ignorenulls=True).over(before)
-    turns = _turns(spark, d).select("conv_id", "turn", "role", G.grams(T.words(F.coalesce("text", F.lit(""))), 4).alias("g"))
+    worded = _turns(spark, d).select("conv_id", "turn", "role", T.words(F.coalesce("text", F.lit(""))).alias("w"))
+    turns = worded.select("conv_id", "turn", "role", G.grams(F.col("w"), 4).alias("g"))
     seen = turns.withColumn("own", last("assistant")).withColumn("user", last("user")).where("role = 'assistant'")
     share = lambda c: F.when(F.col(c).isNull(), F.lit(0.0)).otherwise(G.shared_part(F.col(c), F.col("g")))
     rated = seen.select("conv_id", "turn", F.round(share("own"), 9).alias("own_share"), F.round(share("user"), 9).alias("user_share"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tamis.functions import grams as G
 from tamis.functions import text as T
 from tamis.operators import dedup, sampling
 
@@ -88,18 +89,18 @@ def word_score(spark, d):
 
 def distinct_n(spark, d):
     """Distinct word pairs over all word pairs, by role."""
-    turns = spark.read.parquet(f"{d}/conversations.parquet").select("role", T.words(F.col("text")).alias("w")).where("size(w) > 1")
-    pairs = turns.select("role", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.slice("w", i, 2)))).alias("pair"))
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select("role", T.words(F.col("text")).alias("w"))
+    pairs = turns.select("role", F.explode_outer(G.grams(F.col("w"), 2)).alias("pair")).where("pair is not null")
     counted = pairs.groupBy("role", "pair").agg(F.count("*").alias("n"))
     return counted.groupBy("role").agg(F.count("*").alias("distinct_pairs"), F.sum("n").alias("pairs")).withColumn("share", F.round(F.col("distinct_pairs") / F.col("pairs"), 9))
 
 
 def length_histogram(spark, d):
-    """Documents by half-open length bins; empty bins are listed."""
+    """Documents by half-open length bins; empty bins are listed, texts beyond the last one are in none."""
     bins = spark.createDataFrame([(0, 500), (500, 1000), (1000, 2000), (2000, 5000), (5000, 10000), (10000, 1000000)], "low int, high int")
-    at = F.when(F.col("n_chars") < 500, 0).when(F.col("n_chars") < 1000, 500).when(F.col("n_chars") < 2000, 1000).when(F.col("n_chars") < 5000, 2000).when(F.col("n_chars") < 10000, 5000).otherwise(10000)
+    at = F.when(F.col("n_chars") < 500, 0).when(F.col("n_chars") < 1000, 500).when(F.col("n_chars") < 2000, 1000).when(F.col("n_chars") < 5000, 2000).when(F.col("n_chars") < 10000, 5000).when(F.col("n_chars") < 1000000, 10000)
     counts = _docs(spark, d, "n_chars").groupBy(at.alias("low")).agg(F.count("*").alias("n"))
-    return F.broadcast(bins).join(counts, "low", "left").select("low", "high", F.coalesce("n", F.lit(0)).alias("n"))
+    return bins.join(counts, "low", "left").select("low", "high", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def hash_split(spark, d):
@@ -132,9 +133,9 @@ def bytes_per_word(spark, d):
 def overlap_measure(spark, d):
     """13-word windows of the benchmark that documents hold: documents and windows by item."""
     def grams(rows: DataFrame, key: str) -> DataFrame:
-        w = rows.select(key, T.words(F.col("text")).alias("w")).where("size(w) >= 13")
-        at = w.select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w") - 12)).alias("i"))
-        return at.select(key, F.xxhash64(F.concat_ws(" ", F.slice("w", F.col("i"), 13))).alias("h"), F.concat_ws(" ", F.slice("w", F.col("i"), 13)).alias("g")).distinct()
+        w = rows.select(key, T.words(F.col("text")).alias("w"))
+        at = w.select(key, F.explode_outer(G.grams(F.col("w"), 13)).alias("g")).where("g is not null")
+        return at.select(key, F.xxhash64("g").alias("h"), "g").distinct()
 
     bench = grams(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id")
     hits = grams(_docs(spark, d, "doc_id", "text"), "doc_id").join(bench, ["h", "g"])
@@ -173,9 +174,8 @@ def vote_winner(spark, d):
 def frame_cap(spark, d):
     """Within each source and length class, the share cap keeps max(2, a twentieth of the rows), longest first."""
     docs = _docs(spark, d, "doc_id", "source", "n_chars")
-    size = docs.groupBy("source").agg(F.greatest(F.lit(2), F.floor(F.count("*") * 0.05)).alias("cap"))
-    ranked = docs.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")))
-    return ranked.join(F.broadcast(size), "source").where("place <= cap").select("doc_id", "source", "place")
+    kept = sampling.first_share(docs, "source", [F.desc("n_chars"), F.col("doc_id")], 0.05, 2)
+    return kept.select("doc_id", "source", F.col("place").cast("int").alias("place"))
 
 
 _SHA = "sha256(text)"

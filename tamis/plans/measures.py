@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tamis.functions import grams as G
 from tamis.functions import text as T
 from tamis.functions.html import html_text
-from tamis.operators import minhash
+from tamis.operators import minhash, ordered
 from tamis.sources import jsonl
 from tamis.streaming import events as stream
 
@@ -19,6 +19,14 @@ def _t(spark, d, name) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _grams(rows: DataFrame, n: int, key: str, distinct: bool = False) -> DataFrame:
+    """(key, g) of every run of n words. Words are a column of their own, and the explode an outer one: else Spark repeats the
+    regular expression inside the lambda, or in a filter on the array's size, once for each word."""
+    worded = rows.select(key, T.words(F.col("text")).alias("w"))
+    runs = G.grams(F.col("w"), n)
+    return worded.select(key, F.explode_outer(F.array_distinct(runs) if distinct else runs).alias("g")).where("g is not null")
+
+
 def late_text(spark, d):
     """Documents by source with a model phrase, and with a year after the cutoff."""
     docs = _t(spark, d, "documents")
@@ -31,14 +39,14 @@ def reserve_holdout(spark, d):
 
 def window_hashes(spark, d):
     """The distinct SHA-256 of every 13 neighbouring benchmark words, by items that have it: a list that can be shared without the texts."""
-    runs = _t(spark, d, "benchmark").select("item_id", F.explode(G.grams(T.words(F.col("text")), 13)).alias("g"))
+    runs = _grams(_t(spark, d, "benchmark"), 13, "item_id")
     return runs.groupBy(F.sha2(F.col("g").cast("binary"), 256).alias("sha256")).agg(F.countDistinct("item_id").alias("items"))
 
 
 def word_pairs(spark, d):
     """The 100 commonest pairs of neighbouring words by documents, ties by the pair."""
-    each = _t(spark, d, "documents").select(F.explode(F.array_distinct(G.grams(T.words(F.col("text")), 2))).alias("pair"))
-    return each.groupBy("pair").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "pair").limit(100)
+    each = _grams(_t(spark, d, "documents"), 2, "doc_id", distinct=True)
+    return each.groupBy(F.col("g").alias("pair")).agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "pair").limit(100)
 
 
 def top_word_overlap(spark, d):
@@ -95,8 +103,7 @@ def onset(spark, d):
 
 def tenth_percentile(spark, d):
     """Nearest-rank tenth percentile of order value by priority."""
-    q = F.expr("percentile_disc(0.1) within group (order by o_totalprice)")
-    return _t(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"), q.alias("p10"))
+    return ordered.nearest_rank(_t(spark, d, "orders"), "o_orderpriority", "o_totalprice", 0.1).select("o_orderpriority", F.col("rows").alias("n"), F.col("q").alias("p10"))
 
 
 def trailing_events(spark, d):
@@ -143,6 +150,18 @@ def streamed_first_documents(spark, d):
     return stream.first_documents(spark, d, "documents.parquet")
 
 
+def streamed_windows(spark, d):
+    return stream.sliding(spark, d, "events.parquet")
+
+
+def streamed_join(spark, d):
+    return stream.joined(spark, d, "events.parquet")
+
+
+def streamed_attempts(spark, d):
+    return stream.attempts(spark, d, "events.parquet")
+
+
 _W = r"regexp_extract_all(lower(text), '\p{L}+(?:''\p{L}+)?')"
 _PHRASES = "|".join(G.MODEL_PHRASES).replace("'", "''")
 _ORDERS = "orders join customer on o_custkey = c_custkey"
@@ -194,6 +213,17 @@ ORACLES = {
         union all select 'LENGTH', count(*) from documents where n_chars <> length(text)""",
     "json_lines": "select source, count(*) as docs, cast(sum(strlen(text)) as bigint) as bytes from documents group by source union all select 'bad_json', 1, 16",
     "streamed_hours": "select date_trunc('hour', ts) as hour, event_type, count(*) as n, round(sum(value), 2) as value from events group by 1, 2",
+    "streamed_windows": """
+        with e as (select event_type, time_bucket(interval '2 hours', ts, timestamp '1970-01-01') as slot from events),
+        w as (select event_type, slot - to_hours(2 * cast(i as integer)) as began from e, range(3) r(i))
+        select began, event_type, count(*) as n from w group by 1, 2""",
+    "streamed_join": """
+        select p.event_id as purchase, c.event_id as click from events p join events c on p.user_id = c.user_id and p.event_type = 'purchase' and c.event_type = 'click'
+            and c.ts <= p.ts and c.ts >= p.ts - interval 1 hour""",
+    "streamed_attempts": """
+        with a as (select user_id, event_type = 'purchase' as done, row_number() over (partition by user_id order by ts, event_id) as place from events where event_type in ('purchase', 'error')),
+        u as (select user_id, count(*) as n, coalesce(min(place) filter (done), 1099511627776) as first from a group by 1)
+        select user_id, least(n, first, 3) as tries, case when first <= 3 then 'accepted' when n >= 3 then 'given_up' else 'open' end as state from u""",
     "streamed_first_documents": """select doc_id, source from documents
         qualify row_number() over (partition by sha256(text) order by cast(regexp_extract(source, '[0-9]+') as int), doc_id) = 1""",
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tamis.operators import ordered
+
 
 def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -86,8 +88,8 @@ def key_overlap(spark, d):
 
 def value_quantiles(spark, d):
     """Exact quantiles of order value by priority."""
-    q = F.percentile("o_totalprice", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return _t(spark, d, "orders").groupBy("o_orderpriority").agg(q.alias("q")).select("o_orderpriority", *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p10", "p50", "p90"))))
+    found = ordered.quantiles(_t(spark, d, "orders"), "o_orderpriority", "o_totalprice", [0.1, 0.5, 0.9])
+    return found.select("o_orderpriority", *(F.round(f"q{i}", 4).alias(n) for i, n in enumerate(("p10", "p50", "p90"))))
 
 
 def nested_mean(spark, d):

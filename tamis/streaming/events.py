@@ -25,9 +25,55 @@ def _run(rows: DataFrame, scratch: Scratch, mode: str) -> str:
 
     query = rows.writeStream.foreachBatch(commit).outputMode(mode).option("checkpointLocation", scratch.path("checkpoint")).trigger(availableNow=True).start()
     query.awaitTermination()
+    progress = [(p["batchId"], p["numInputRows"], p["durationMs"].get("triggerExecution", 0)) for p in query.recentProgress]
+    if progress:
+        spark = rows.sparkSession
+        spark.createDataFrame(progress, "batch long, rows long, milliseconds long").coalesce(1).write.mode("overwrite").parquet(scratch.path("progress"))
     return path
 
 
+def progress(scratch: Scratch) -> DataFrame:
+    """(batch, rows, milliseconds) of the batches of a run that has ended."""
+    return scratch.spark.read.parquet(scratch.path("progress"))
+
+
+def sliding(spark: SparkSession, folder: str, glob: str, files_a_batch: int = 100) -> DataFrame:
+    """(began, event_type, n) of windows of six hours that begin every two, under a watermark of a day; the latest row of a window counts."""
+    events = _arrivals(spark, folder, glob, files_a_batch).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
+    counted = events.groupBy(F.window("ts", "6 hours", "2 hours").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    rows = counted.select(F.col("w.start").cast("timestamp_ntz").alias("began"), "event_type", "n")
+    batches = spark.read.parquet(_run(rows, Scratch(spark, "sliding"), "update"))
+    return batches.groupBy("began", "event_type").agg(F.max(F.struct("batch", "n"))["n"].alias("n"))
+
+
+def joined(spark: SparkSession, folder: str, glob: str, files_a_batch: int = 100) -> DataFrame:
+    """(purchase, click) of a user's clicks in the hour before each purchase: two streams with watermarks, whose state is bounded by the hour."""
+    side = lambda kind, name: (
+        _arrivals(spark, folder, glob, files_a_batch)
+        .where(F.col("event_type") == kind)
+        .select(F.col("event_id").alias(name), F.col("user_id").alias(f"{name}_user"), F.col("ts").cast("timestamp").alias(f"{name}_ts"))
+        .withWatermark(f"{name}_ts", "1 day")
+    )
+    near = F.expr("purchase_user = click_user and click_ts <= purchase_ts and click_ts >= purchase_ts - interval 1 hour")
+    rows = side("purchase", "purchase").join(side("click", "click"), near).select("purchase", "click")
+    return spark.read.parquet(_run(rows, Scratch(spark, "joined"), "append")).select("purchase", "click")
+
+
+def attempts(spark: SparkSession, folder: str, glob: str, most: int = 3, files_a_batch: int = 100) -> DataFrame:
+    """(user_id, tries, state): events as attempts of a user's job: a purchase ends it well, an error is a try, and after so many tries it is given up.
+
+    Attempts after the end don't count. The state per batch is one narrow row for each event; the verdict is taken over all batches, so
+    a batch that comes again changes nothing.
+    """
+    rows = _arrivals(spark, folder, glob, files_a_batch).where("event_type in ('purchase', 'error')").select("user_id", "ts", "event_id", (F.col("event_type") == "purchase").alias("done"))
+    seen = spark.read.parquet(_run(rows, Scratch(spark, "attempts"), "append")).select("user_id", "ts", "event_id", "done").distinct()
+    line = seen.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "done"))).alias("all"), F.count_if("done").alias("wins"))
+    first = F.coalesce(F.nullif(F.array_position(F.transform("all", lambda a: a["done"]), True), F.lit(0)), F.lit(1 << 40))
+    tries = F.least(F.size("all").cast("long"), first, F.lit(most))
+    state = F.when(first <= most, "accepted").when(F.size("all") >= most, "given_up").otherwise("open")
+    return line.select("user_id", tries.alias("tries"), state.alias("state"))
+
+
 def hourly(spark: SparkSession, folder: str, glob: str, files_a_batch: int = 100) -> DataFrame:
     """(hour, event_type, n, value) of tumbling hours; of an hour that several batches touched, the latest row counts.
 
