@@ -1,10 +1,10 @@
 """Exact top-k search by inner product as a Voronoi join.
 
-Data and queries are grouped by their nearest pivot. Each cell's summary (its radius, and the distances of its members nearest to
-the pivot) bounds the scores that a query cell and a data cell can reach together: a query cell needs a data cell only if the
-best score there can reach what its k-th neighbour has at least. Only such cells are replicated. Large cells are cut into
-slices of a bounded size, so a cell that holds most rows is worked on by many tasks; each pair of slices is solved alone and the k best
-of all pairs remain.
+Data and queries are grouped by their nearest pivot. Neighbouring cells form slices of a bounded number of rows, and a cell that holds
+more is cut into several. Each query is first solved in its own slice, which gives it a score that its k-th neighbour has at
+least. A cell's summary (its radius and its longest member) then bounds the scores that the query can reach there, and the query is
+sent only to the slices with a cell that can still reach its bound. Data stay where they are; a slice that many queries ask is repeated
+for bounded groups of them. The k best of all slices remain.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from tamis.session import Scratch
 
 #: Rows of a slice at most, about: queries and data of a task.
-QUERY_SLICE, DATA_SLICE = 2048, 8192
-#: Pivots at most; their number grows with the square root of the rows.
-MOST_CELLS = 1024
+QUERY_SLICE, DATA_SLICE = 2048, 4096
+#: Pivots at most, 2 MB of 64 dimensions; below that their number is the square root of the rows, and at least this many.
+MOST_CELLS, LEAST_CELLS = 4096, 16
 #: Queries whose scores a task holds at a time.
 CHUNK = 128
 
@@ -65,25 +65,56 @@ def _assigner(pivots: np.ndarray):
     return assign
 
 
-def needed_cells(pivots: np.ndarray, reach: np.ndarray, radius: np.ndarray, near: list[list[float]], k: int) -> list[list[int]]:
-    """For each query cell the data cells that may hold one of the k best, by the summaries alone.
+def slices_of(pivots: np.ndarray, count: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """First slice and number of slices of each cell, and the cells of each slice. Small neighbouring cells share a slice."""
+    middle = pivots - pivots.mean(0)
+    axes = np.linalg.svd(middle, full_matrices=False)[2][:1] if len(pivots) > 1 else np.zeros((1, pivots.shape[1]))
+    first, parts, held, room = np.zeros(len(pivots), int), np.ones(len(pivots), int), [], 0
+    for cell in np.argsort(middle @ axes[0], kind="stable"):
+        if count[cell] > most:
+            parts[cell] = -(-count[cell] // most)
+            first[cell] = len(held)
+            held += [[int(cell)] for _ in range(parts[cell])]
+            room = 0
+        else:
+            if count[cell] > room or not held:
+                held.append([])
+                room = most
+            held[-1].append(int(cell))
+            first[cell] = len(held) - 1
+            room -= count[cell]
+    return first, parts, held
+
 
-    reach and radius are the largest distances of queries and data to their pivot, -1 for none; near has the least distances of a
-    cell's data, k + 1 at most, as a query's own row doesn't count.
+def best_scores(queries: np.ndarray, pivots: np.ndarray, radius: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """(query, cell): no member of the cell scores more; minus infinity for empty cells.
+
+    q x = q p + q (x - p), and neither part exceeds the product of the lengths.
     """
-    norm, dot = np.sqrt((pivots**2).sum(1)), pivots @ pivots.T
-    slack = 1e-9 * (1 + np.abs(dot).max()) + 1e-6
-    cells = [j for j in range(len(pivots)) if radius[j] >= 0]
-    found = []
-    for i in range(len(pivots)):
-        if reach[i] < 0:
-            found.append([])
-            continue
-        least = [dot[i, j] - reach[i] * norm[j] - (norm[i] + reach[i]) * d for j in cells for d in near[j]]
-        bound = np.partition(least, len(least) - k - 1)[len(least) - k - 1] if len(least) > k else -np.inf
-        best = dot[i] + reach[i] * norm + (norm[i] + reach[i]) * radius
-        found.append([j for j in cells if best[j] + slack >= bound])
-    return found
+    size = np.sqrt((queries**2).sum(1))[:, None]
+    by_radius = queries @ pivots.T + size * np.maximum(radius, 0)
+    bound = np.minimum(by_radius, size * longest)
+    return np.where(radius >= 0, bound + 1e-9 * (1 + np.abs(bound)) + 1e-6, -np.inf)
+
+
+def _asker(pivots: np.ndarray, radius: np.ndarray, longest: np.ndarray, slices: list[list[int]]):
+    """Sends each query to the slices, other than its own, that may hold one of its k best."""
+    order = np.array([c for own in slices for c in own], int)
+    starts = np.cumsum([0, *map(len, slices)])[:-1]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), CHUNK):
+                part = batch.slice(at, CHUNK)
+                x = _matrix(part.column("v"), pivots.shape[1]).astype(np.float64)
+                best = np.maximum.reduceat(best_scores(x, pivots, radius, longest)[:, order], starts, axis=1)
+                open_ = best >= part.column("least").to_numpy(zero_copy_only=False)[:, None]
+                open_[np.arange(len(x)), part.column("slice").to_numpy()] = False
+                row, to = np.nonzero(open_)
+                taken = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in ("uid", "vec_id", "v")), pa.array(to.astype(np.int32))], ["uid", "vec_id", "v", "slice"])
+
+    return ask
 
 
 def best_of_block(queries: np.ndarray, query_uid: np.ndarray, data: np.ndarray, data_uid: np.ndarray, vec_id: np.ndarray, k: int):
@@ -143,7 +174,7 @@ def top_k(vectors: DataFrame, query: Column, k: int = 20, key: str = "vec_id", v
     n, dims = size["n"], max(1, size["dims"])
     if (size["most"] or 0) < 1 << 15:
         ready = ready.withColumn("v", F.col("v").cast("array<smallint>"))
-    cells = min(MOST_CELLS, max(1, round(sqrt(n) / 16)))
+    cells = min(MOST_CELLS, n, max(LEAST_CELLS, round(sqrt(n))))
     # pivots are a sample of bounded size: by hash, about twice as many as needed
     share = min(1.0, 2 * cells / n + 10 / n)
     mark = F.pmod(F.xxhash64("uid"), F.lit(1 << 30))
@@ -153,32 +184,32 @@ def top_k(vectors: DataFrame, query: Column, k: int = 20, key: str = "vec_id", v
     pivots = np.zeros((len(picked), dims))
     for i, row in enumerate(picked):
         pivots[i, : len(row["v"])] = row["v"]
+    pivots = np.unique(pivots, axis=0)
     kind = "smallint" if (size["most"] or 0) < 1 << 15 else "bigint"
     placed = ready.mapInArrow(_assigner(pivots), f"uid long, vec_id long, is_query boolean, cell int, away double, v array<{kind}>")
     placed = scratch.keep(placed, "placed")
 
-    count, asked = np.zeros(len(pivots), int), np.zeros(len(pivots), int)
-    reach, radius = np.full(len(pivots), -1.0), np.full(len(pivots), -1.0)
-    for r in placed.groupBy("cell", "is_query").agg(F.count("*").alias("n"), F.max("away").alias("far")).collect():
-        count[r["cell"]] += r["n"]
-        radius[r["cell"]] = max(radius[r["cell"]], r["far"])
-        if r["is_query"]:
-            asked[r["cell"]], reach[r["cell"]] = r["n"], r["far"]
-    order = Window.partitionBy("cell").orderBy("away")
-    near: list[list[float]] = [[] for _ in pivots]
-    for r in placed.select("cell", "away", F.row_number().over(order).alias("at")).where(F.col("at") <= k + 1).collect():
-        near[r["cell"]].append(r["away"])
-    pairs = needed_cells(pivots, reach, radius, near, k)
-
-    data_slices, query_slices = -(-count // DATA_SLICE), -(-asked // QUERY_SLICE)
-    targets = [(i, int(query_slices[i]), j, int(data_slices[j])) for i, own in enumerate(pairs) for j in own]
-    targets = spark.createDataFrame(targets, "q_cell int, q_slices int, d_cell int, d_slices int")
-    pick = lambda slices: F.pmod(F.xxhash64("uid", F.lit(7)), slices).cast("int")
-    every = lambda slices: F.explode(F.sequence(F.lit(0), slices - 1))
-    asking = placed.where("is_query").join(targets, F.col("cell") == F.col("q_cell")).withColumn("q_slice", pick(F.col("q_slices"))).withColumn("d_slice", every(F.col("d_slices")))
-    given = placed.join(targets, F.col("cell") == F.col("d_cell")).withColumn("d_slice", pick(F.col("d_slices"))).withColumn("q_slice", every(F.col("q_slices")))
-    group = ["q_cell", "q_slice", "d_cell", "d_slice"]
-    asking, given = (x.select(*(F.col(c).alias(c) for c in (*group, "uid", "vec_id", "v"))) for x in (asking, given))
-    solved = asking.groupBy(*group).cogroup(given.groupBy(*group)).applyInArrow(_solver(dims, k), "q_uid long, query_id long, uid long, vec_id long, score long")
+    count, radius, longest = np.zeros(len(pivots), int), np.full(len(pivots), -1.0), np.zeros(len(pivots))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("far"), F.max(length).alias("longest")).collect():
+        count[r["cell"]], radius[r["cell"]], longest[r["cell"]] = r["n"], r["far"], r["longest"]
+    first, parts, slices = slices_of(pivots, count, DATA_SLICE)
+    where = F.broadcast(spark.createDataFrame([(i, int(first[i]), int(parts[i])) for i in range(len(pivots))], "cell int, first int, parts int"))  # a row for each pivot
+    data = placed.join(where, "cell").select("uid", "vec_id", "is_query", "v", (F.col("first") + F.pmod(F.xxhash64("uid", F.lit(7)), F.col("parts"))).cast("int").alias("slice"))
+    data = scratch.keep(data, "data")
+    queries, found = data.where("is_query"), "q_uid long, query_id long, uid long, vec_id long, score long"
+    plain = data.select("slice", "uid", "vec_id", "v")
+    home = queries.select("slice", "uid", "vec_id", "v").groupBy("slice").cogroup(plain.groupBy("slice")).applyInArrow(_solver(dims, k), found)
+    home = scratch.keep(home, "home")
+    least = home.groupBy("q_uid").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(F.lit(float("-inf"))).alias("least"))
+    known = queries.join(least, F.col("uid") == F.col("q_uid"), "left").select("uid", "vec_id", "v", "slice", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    asked = known.mapInArrow(_asker(pivots, radius, longest, slices), f"uid long, vec_id long, v array<{kind}>, slice int")
+    asked = scratch.keep(asked, "asked")
+
+    groups = asked.groupBy("slice").agg(F.ceil(F.count("*") / QUERY_SLICE).cast("int").alias("groups"))
+    asking = asked.join(groups, "slice").withColumn("part", F.pmod(F.xxhash64("uid", F.lit(11)), F.col("groups")).cast("int"))
+    given = plain.join(groups, "slice").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    asking, given = (x.select("slice", "part", "uid", "vec_id", "v").groupBy("slice", "part") for x in (asking, given))
+    solved = home.unionByName(asking.cogroup(given).applyInArrow(_solver(dims, k), found))
     best = Window.partitionBy("q_uid").orderBy(F.desc("score"), "vec_id", "uid")
     return solved.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
