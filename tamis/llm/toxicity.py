@@ -2,9 +2,9 @@
 
 Many voters look at a text: one for each word of general lexicons, one for each word beginning that the labelled learning rows
 show to be an insult of their own, and patterns over both. A generative label model estimates each voter's
-accuracy and the voters' correlations by expectation-maximisation over the sampled labelled learning rows, whose posteriors are drawn to
-their labels; unlabelled texts don't take part yet. A voter that repeats others counts for less. A linear classifier is trained on the
-mean of posterior and label and scores every text.
+accuracy and the voters' correlations by expectation-maximisation over a sample of all texts: labelled learning rows are drawn to
+their labels, all others get a posterior by what the voters say. A voter that repeats others counts for less. A linear classifier is
+trained on the posteriors and scores every text.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis.llm.quality import first_by_hash, usable_labels
 from tamis.session import Scratch
 
-#: Labelled rows to learn from, about, at most.
-MOST_LABELLED = 20_000
+#: Labelled rows, and rows without a label, that the models are fitted to, at most.
+MOST_LABELLED, MOST_UNLABELLED = 20_000, 20_000
 ROUNDS, STEPS, PENALTY = 40, 60, 1e-4
 #: General lexicons of insults by language; each word is a voter.
 LEXICONS = {
@@ -108,13 +109,6 @@ def features(text: Column, mined: tuple[str, ...]) -> Column:
     return spoken(text)
 
 
-def sample_of(labels: DataFrame, learn: Column, label: str, key: str, most: int) -> DataFrame:
-    """(label_key, label) of about `most` labelled rows at most, chosen by a hash of the key."""
-    usable = labels.where(learn & F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("label_key"), F.col(label).cast("int").alias("label"))
-    share = int(min(1.0, most / max(1, usable.count())) * (1 << 30))
-    return F.broadcast(usable.where(F.pmod(F.xxhash64("label_key", F.lit(42)), F.lit(1 << 30)) < share))
-
-
 def mine(texts: DataFrame) -> tuple[str, ...]:
     """Beginnings whose odds to be repeated in texts of label 1, against label 0, are surely high; from (text, label) rows."""
 
@@ -211,30 +205,38 @@ def train(x: np.ndarray, target: np.ndarray) -> Linear:
 
 
 def fit(x: np.ndarray, label: np.ndarray, voters: int) -> Linear:
-    """Label model, then classifier, from voter features and labels (0 or 1). No rows: what the voters alone say."""
+    """Label model, then classifier on its posteriors, from voter features and labels (0, 1, or -1 for none). A labelled row's target is
+    its label and its posterior by halves, another's its posterior. No rows: what the voters alone say."""
     if not len(x):
         return Linear((2.0,) * voters, -3.0)
     votes = (x > 0).astype(float)
     posterior = label_model(votes, label).posterior(votes)
-    return train(x, 0.5 * posterior + 0.5 * label)
+    return train(x, np.where(label >= 0, 0.5 * posterior + 0.5 * label, posterior))
+
+
+def _matrix(rows: pd.DataFrame, voters: int) -> tuple[np.ndarray, np.ndarray]:
+    x = np.zeros((len(rows), voters))
+    for i, (voter, value) in enumerate(zip(rows["voter"], rows["value"])):
+        x[i, voter] = value
+    return x, rows["label"].to_numpy().astype(int)
 
 
-def scores(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_LABELLED, threshold: float = 0.3) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_LABELLED, threshold: float = 0.3, unlabelled: int = MOST_UNLABELLED) -> DataFrame:
     """Key, score (0 to 1) and predicted (1 if the score is at least the threshold) of every row; only labels where `learn` holds are used.
 
-    Null counts as the empty text, on which no voter speaks. Repeated rows and null keys are kept; other columns are ignored.
+    Null counts as the empty text, on which no voter speaks; texts of equal votes score alike. Repeated rows and null keys are kept; other
+    columns are ignored. A key that is labelled both ways teaches nothing. Both samples are the first rows by a hash of the key,
+    so they are bounded whatever keys repeat. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
-    sample = sample_of(labels, learn, label, key, most)
+    usable = usable_labels(labels, learn, label, key)
+    sample = F.broadcast(scratch.keep(first_by_hash(usable, most, "label_key", "label"), "sample"))  # `most` rows at most
     base = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     mined = mine(base.join(sample, F.col("key") == F.col("label_key")).select("text", "label"))
     measured = scratch.keep(base.select("key", features(F.col("text"), mined).alias("said")), "features")
-    rows = measured.join(sample, F.col("key") == F.col("label_key")).select("said.voter", "said.value", "label").toPandas()
-    voters = _voters(mined).size
-    x = np.zeros((len(rows), voters))
-    for i, (voter, value) in enumerate(zip(rows["voter"], rows["value"])):
-        x[i, voter] = value
-    y = rows["label"].to_numpy()
+    known = measured.join(sample, F.col("key") == F.col("label_key"), "left").select("key", "said.voter", "said.value", F.coalesce("label", F.lit(-1)).alias("label"))
+    rows = pd.concat([first_by_hash(known.where(own), n, "key", "voter", "value").toPandas() for own, n in (("label >= 0", most), ("label < 0", unlabelled))])
+    x, y = _matrix(rows, _voters(mined).size)
     order = np.lexsort((y, *x.T)) if len(x) else np.zeros(0, int)  # the fit doesn't depend on the rows' order
-    score = fit(x[order], y[order], voters).score(F.col("said"))
+    score = fit(x[order], y[order], x.shape[1]).score(F.col("said"))
     return measured.select(F.col("key").alias(key), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
