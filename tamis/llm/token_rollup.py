@@ -2,7 +2,8 @@
 
 A batch of changes is summed to one signed row for each source, language and tokenizer version before it is shuffled, and
 written as a folder of its own. A batch counts once its folder is complete, and a batch that is complete is never written again, so a
-retry or a replay changes nothing, and a half-written batch is written anew. Totals are the sums over complete batches.
+retry or a replay changes nothing, and a half-written batch is written anew. Totals are the sums over complete batches; a
+snapshot holds the sums of all batches up to its number, so that the batches before it needn't be read again.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ("source", "lang", "version")
+SCHEMA = "source string, lang string, version string, docs long, tokens long"
 #: Tokenizer versions that the SQL check can repeat; any other column that counts a text's tokens may be given instead.
 VERSIONS = {"words-1": r"[^ \t\n\x0B\f\r]+", "words-2": r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\x00-\x20]"}
 
@@ -20,23 +22,24 @@ def count_matches(text: Column, pattern: str) -> Column:
 
 
 def by_version(counts: DataFrame, columns: dict[str, dict[str, str]], extra: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each document and tokenizer version. columns: version -> name in the result -> name in `counts`."""
+    """A row for each document and tokenizer version. columns: version -> name in the result -> name in `counts`. Null counts stay
+    null and add nothing; repeated rows count each; an empty table gives no rows."""
     each = F.array(*(F.struct(F.lit(v).alias("version"), *(F.col(c).cast("long").alias(n) for n, c in names.items())) for v, names in columns.items()))
     return counts.select("source", "lang", *extra, F.explode(each).alias("x")).select("source", "lang", *extra, "x.*")
 
 
 def inserted(rows: DataFrame) -> DataFrame:
-    """Changes for documents with `tokens` that arrive."""
+    """Changes for documents with `tokens` that arrive; each row is a document, repeated ones too, and null tokens add a document only."""
     return rows.select(*KEYS, F.lit(1).cast("long").alias("docs"), "tokens")
 
 
 def deleted(rows: DataFrame) -> DataFrame:
-    """Changes for documents with `tokens` that go."""
+    """Changes for documents with `tokens` that go; nulls and repeats as in `inserted`."""
     return rows.select(*KEYS, F.lit(-1).cast("long").alias("docs"), (-F.col("tokens")).alias("tokens"))
 
 
 def revised(rows: DataFrame) -> DataFrame:
-    """Changes for documents whose count becomes `tokens` and was `was`."""
+    """Changes for documents whose count becomes `tokens` and was `was`; where either is null nothing is added."""
     return rows.select(*KEYS, F.lit(0).cast("long").alias("docs"), (F.col("tokens") - F.col("was")).alias("tokens"))
 
 
@@ -55,23 +58,40 @@ class TokenRollup:
         path = f"{self.folder}/batch={int(batch)}"
         if self._exists(f"{path}/_SUCCESS"):
             return False
-        summed = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        summed = changes.groupBy(*KEYS).agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
         summed.where("docs <> 0 or tokens <> 0").write.mode("overwrite").parquet(path)
         return True
 
-    def _complete(self) -> list[str]:
+    def _complete(self, kind: str) -> dict[int, str]:
+        """Complete folders of a kind (batch or snapshot) by number."""
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        found = hadoop.Path(f"{self.folder}/batch=*/_SUCCESS")
+        found = hadoop.Path(f"{self.folder}/{kind}=*/_SUCCESS")
         listed = found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(found)
-        return sorted(x.getPath().getParent().toString() for x in listed or ())
+        paths = [x.getPath().getParent().toString() for x in listed or ()]
+        return {int(p.rsplit("=", 1)[1]): p for p in paths}
+
+    def _every(self, upto: int | None = None) -> tuple[int, DataFrame]:
+        """The last batch that counts, and the rows that sum to the totals up to it. Batches are taken to be numbered in order of commit."""
+        batches, snapshots = self._complete("batch"), self._complete("snapshot")
+        last = max([*batches, *snapshots, -1]) if upto is None else upto
+        base = max((n for n in snapshots if n <= last), default=None)
+        paths = [snapshots[base]] if base is not None else []
+        paths += [p for n, p in sorted(batches.items()) if (base is None or n > base) and n <= last]
+        if not paths:
+            return last, self.spark.createDataFrame([], SCHEMA)
+        return last, self.spark.read.schema(SCHEMA).parquet(*paths)
+
+    def compact(self) -> int:
+        """Writes a snapshot of all complete batches; its number, or -1 if there is none. A retry finds it there or writes it anew."""
+        last, rows = self._every()
+        if last >= 0 and last not in self._complete("snapshot"):
+            summed = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+            summed.write.mode("overwrite").parquet(f"{self.folder}/snapshot={last}")
+        return last
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs, tokens over all complete batches; groups whose documents all went are left out."""
-        schema = "source string, lang string, version string, docs long, tokens long"
-        batches = self._complete()
-        if not batches:
-            return self.spark.createDataFrame([], schema)
-        every = self.spark.read.schema(schema).parquet(*batches)
+        every = self._every()[1]
         return every.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0")
 
 
