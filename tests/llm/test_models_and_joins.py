@@ -96,10 +96,26 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert knn.top_k(docs.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_far_cells_are_left_out():
-    pivots = np.array([[100.0, 0], [-100.0, 0], [0, 100.0]])
-    near = [[0.0] * 3, [0.0] * 3, [0.0] * 3]
-    assert knn.needed_cells(pivots, np.array([1.0, -1, 1]), np.array([1.0, 1, 1]), near, 2) == [[0], [], [2]]
+def test_clustered_queries_ask_few_slices(spark, monkeypatch):
+    """Thirty tight clusters far apart: a query goes to its own slice and few others, and the result is that of brute force."""
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(30, 8)) * 20
+    rows = [(i, [float(c) for c in middles[i % 30] + 0.05 * rng.normal(size=8)]) for i in range(1500)]
+    asked, keep = [], knn.Scratch.keep
+
+    def noted(self, df, name):
+        out = keep(self, df, name)
+        if name == "asked":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(knn.Scratch, "keep", noted)
+    monkeypatch.setattr(knn, "DATA_SLICE", 60)
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in knn.top_k(docs, F.col("vec_id") % 20 == 0, 20).collect())
+    assert got == brute_top(rows, 20)
+    queries, slices = 75, 25
+    assert asked[0] < 0.2 * queries * slices
 
 
 def test_pipeline_keeps_its_promises(spark, sf_dir):
