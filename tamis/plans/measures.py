@@ -227,4 +227,16 @@ ORACLES = {
     "streamed_first_documents": """select doc_id, source from documents
         qualify row_number() over (partition by sha256(text) order by cast(regexp_extract(source, '[0-9]+') as int), doc_id) = 1""",
 }
-QUERIES = {name: globals()[name] for name in (*ORACLES, "minhash_groups", "page_texts")}
+#: Groups by exact similarity of word shingles, as SQL can say it: all pairs that share a shingle, then reachability.
+ORACLES["minhash_groups"] = r"""
+    with recursive w as (select doc_id, cast(regexp_extract(source, '[0-9]+') as int) as rank, coalesce(text, '') as t,
+                     regexp_extract_all(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[0-9]+', '0', 'g'), '[\p{L}\p{N}]+') as w from documents),
+    s as (select doc_id, unnest(list_distinct(case when len(w) = 0 then ['own ' || t] when len(w) < 5 then [array_to_string(w, ' ')]
+                     else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as g from w),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+    l as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where c * 1000 >= 800 * (x.n + y.n - c)),
+    r(id, seen) as (select doc_id, doc_id from documents union select r.id, l.b from r join l on l.a = r.seen),
+    g as (select r.id, arg_min(w.doc_id, (w.rank, w.doc_id)) as lead, count(*) as size from r join w on w.doc_id = r.seen group by r.id)
+    select id as doc_id, lead, size, id = lead as kept from g"""
+QUERIES = {name: globals()[name] for name in (*ORACLES, "page_texts")}

@@ -119,3 +119,18 @@ def publish(spark: SparkSession, written: str, final: str) -> bool:
 def merged_counters(rows: DataFrame, name: str, value: str) -> DataFrame:
     """(name, value): counters of many workers as one, the largest where the name begins with max_, else the sum."""
     return rows.groupBy(name).agg(F.when(F.startswith(F.col(name), F.lit("max_")), F.max(value)).otherwise(F.sum(value)).alias(value))
+
+
+def verified_files(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
+    """(path, state) of a manifest's files (path below the root, bytes, sha256): ok, missing, size or hash; files that it doesn't name are unknown."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    start = len(root.split(":", 1)[-1].strip("/"))
+    below = F.substr(F.regexp_replace("path", r"^(?:[a-z]+:)?/*", ""), F.lit(start + 2))
+    found = files.select(below.alias("path"), F.col("length").alias("has_bytes"), F.sha2("content", 256).alias("has_hash"))
+    both = manifest.select("path", "bytes", "sha256", F.lit(True).alias("named")).join(found, "path", "full")
+    state = F.when(F.col("named").isNull(), "unknown").when(F.col("has_bytes").isNull(), "missing").when(F.col("bytes") != F.col("has_bytes"), "size").when(F.col("sha256") != F.col("has_hash"), "hash").otherwise("ok")
+    return both.select("path", state.alias("state"))
+
+
+#: Readers by name: a plan may name one, and others may be added.
+READERS = {"trees": message_trees, "posts": posts}
