@@ -261,7 +261,11 @@ def listed(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts of the base kinds, the hash of the base spans and all spans as text."""
+    """Counts of the base kinds, the hash of the base spans and all spans as text, of every row.
+
+    Null and empty texts count 0 and have the hash of nothing; repeated rows and null keys are kept; other columns are ignored; an empty
+    table gives no rows.
+    """
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return find(docs, key, text).select(
         key, *map(of, BASE), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans")

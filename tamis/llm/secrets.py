@@ -176,13 +176,20 @@ def trigrams_of(query: Query) -> set[bytes]:
     return {query[1]} if query[0] == "tri" else set().union(*map(trigrams_of, query[1:]))
 
 
+@lru_cache(maxsize=2)
+def _numbers(trigrams: tuple[bytes, ...]) -> np.ndarray:
+    """The number of each trigram, from 1, by its three bytes; made once in a worker."""
+    number = np.zeros(1 << 24, np.uint16)
+    for i, t in enumerate(trigrams):
+        number[int.from_bytes(t, "big")] = i + 1
+    return number
+
+
 class Segment:
     """Posting lists of some trigrams over a block of texts; lists are sorted row numbers."""
 
     def __init__(self, ends: np.ndarray, raw: np.ndarray, trigrams: list[bytes]):
-        number = np.zeros(1 << 24, np.uint16)
-        for i, t in enumerate(trigrams):
-            number[int.from_bytes(t, "big")] = i + 1
+        number = _numbers(tuple(trigrams))
         self.rows = len(ends)
         found = []
         for at in range(0, max(0, len(raw) - 2), SLICE):
@@ -268,7 +275,11 @@ def redact(docs: DataFrame, columns: list[str], text: str = "text", rules: tuple
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts of the base kinds, the hash of the base spans and all spans as text."""
+    """Counts of the base kinds, the hash of the base spans and all spans as text, of every row.
+
+    Null and empty texts count 0 and have the hash of nothing; repeated rows and null keys are kept; other columns are ignored; an empty
+    table gives no rows.
+    """
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(*(r.kind for r in BASE)))
     return scan(docs, key, text).select(
