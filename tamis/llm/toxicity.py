@@ -146,26 +146,26 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(-log, -40, 40)))
 
 
-def label_model(votes: np.ndarray, label: np.ndarray, gold_weight: float = 0.5) -> LabelModel:
-    """EM; `label` is 0, 1 or -1 (unknown). A labelled row's posterior is drawn to its label by `gold_weight`, as labels may err too.
+def label_model(votes: np.ndarray, label: np.ndarray, gold_weight: float = 0.5, times: np.ndarray | None = None) -> LabelModel:
+    """EM; `label` is 0, 1 or -1 (unknown), and `times` how many texts a row stands for. A labelled row's posterior is drawn to its label by `gold_weight`, as labels may err too.
 
     A voter's share is 1 over 1 plus its correlations, within classes, with the other voters: copies of one signal share one vote.
     """
-    known = label >= 0
+    known, n = label >= 0, np.ones(len(label)) if times is None else times
     q = np.where(known, label, np.minimum(votes.sum(1), 1) * 0.9 + 0.05).astype(float)
     share = np.ones(votes.shape[1])
     model = LabelModel(np.full((2, votes.shape[1]), 0.5), 0.5, share)
     for _ in range(ROUNDS):
-        weight = np.stack([1 - q, q])
+        weight = np.stack([n * (1 - q), n * q])
         p = (weight @ votes + np.array([[0.05], [0.5]])) / (weight.sum(1, keepdims=True) + 1)
         p = np.clip(p, 1e-5, 1 - 1e-5)
         left = votes - (q[:, None] * p[1] + (1 - q)[:, None] * p[0])
-        cov = left.T @ left / len(left)
+        cov = (left.T * n) @ left / n.sum()
         spread = np.sqrt(np.diag(cov)) + 1e-9
         corr = np.clip(cov / spread[:, None] / spread, 0, 1)
         np.fill_diagonal(corr, 0)
         share = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(1))
-        model = LabelModel(p, float(np.clip(q.mean(), 1e-4, 1 - 1e-4)), share)
+        model = LabelModel(p, float(np.clip((n * q).sum() / n.sum(), 1e-4, 1 - 1e-4)), share)
         new = model.posterior(votes)
         new = np.where(known, gold_weight * label + (1 - gold_weight) * new, new)
         if np.abs(new - q).max() < 1e-6:
@@ -187,16 +187,17 @@ class Linear:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), total))))
 
 
-def train(x: np.ndarray, target: np.ndarray) -> Linear:
-    """Ridge-penalised logistic regression on soft targets."""
+def train(x: np.ndarray, target: np.ndarray, times: np.ndarray | None = None) -> Linear:
+    """Ridge-penalised logistic regression on soft targets; `times` is how many texts a row stands for."""
     full = np.column_stack([x, np.ones(len(x))])
+    share = np.full(len(x), 1 / len(x)) if times is None else times / times.sum()
     beta = np.zeros(full.shape[1])
     keep = PENALTY * np.ones(len(beta))
     keep[-1] = 1e-9
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(np.clip(-full @ beta, -40, 40)))
-        slope = full.T @ (p - target) / len(full) + keep * beta
-        curve = (full.T * (p * (1 - p))) @ full / len(full) + np.diag(keep + 1e-6)
+        slope = full.T @ (share * (p - target)) + keep * beta
+        curve = (full.T * (share * p * (1 - p))) @ full + np.diag(keep + 1e-6)
         step = np.clip(np.linalg.solve(curve, slope), -2, 2)
         beta -= step
         if np.abs(step).max() < 1e-6:
@@ -204,21 +205,25 @@ def train(x: np.ndarray, target: np.ndarray) -> Linear:
     return Linear(tuple(map(float, beta[:-1])), float(beta[-1]))
 
 
-def fit(x: np.ndarray, label: np.ndarray, voters: int) -> Linear:
+def fit(x: np.ndarray, label: np.ndarray, voters: int, times: np.ndarray | None = None) -> Linear:
     """Label model, then classifier on its posteriors, from voter features and labels (0, 1, or -1 for none). A labelled row's target is
     its label and its posterior by halves, another's its posterior. No rows: what the voters alone say."""
     if not len(x):
         return Linear((2.0,) * voters, -3.0)
     votes = (x > 0).astype(float)
-    posterior = label_model(votes, label).posterior(votes)
-    return train(x, np.where(label >= 0, 0.5 * posterior + 0.5 * label, posterior))
+    posterior = label_model(votes, label, times=times).posterior(votes)
+    return train(x, np.where(label >= 0, 0.5 * posterior + 0.5 * label, posterior), times)
 
 
-def _matrix(rows: pd.DataFrame, voters: int) -> tuple[np.ndarray, np.ndarray]:
-    x = np.zeros((len(rows), voters))
-    for i, (voter, value) in enumerate(zip(rows["voter"], rows["value"])):
-        x[i, voter] = value
-    return x, rows["label"].to_numpy().astype(int)
+def _distinct(rows: pd.DataFrame, voters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and numbers of texts of the distinct (voters, values, label) rows, in an order of their own: most texts are alike, as
+    no voter speaks on them, so the matrix is far smaller than the sample."""
+    said = zip(rows["voter"], rows["value"], rows["label"])
+    count = Counter((np.asarray(i, np.int16).tobytes(), np.asarray(v, np.float32).tobytes(), int(y)) for i, v, y in said)
+    x, keys = np.zeros((len(count), voters)), sorted(count)
+    for row, (i, v, _) in enumerate(keys):
+        x[row, np.frombuffer(i, np.int16)] = np.frombuffer(v, np.float32)
+    return x, np.array([y for *_, y in keys], int), np.array([count[k] for k in keys], float)
 
 
 def scores(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_LABELLED, threshold: float = 0.3, unlabelled: int = MOST_UNLABELLED) -> DataFrame:
@@ -236,7 +241,6 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id
     measured = scratch.keep(base.select("key", features(F.col("text"), mined).alias("said")), "features")
     known = measured.join(sample, F.col("key") == F.col("label_key"), "left").select("key", "said.voter", "said.value", F.coalesce("label", F.lit(-1)).alias("label"))
     rows = pd.concat([first_by_hash(known.where(own), n, "key", "voter", "value").toPandas() for own, n in (("label >= 0", most), ("label < 0", unlabelled))])
-    x, y = _matrix(rows, _voters(mined).size)
-    order = np.lexsort((y, *x.T)) if len(x) else np.zeros(0, int)  # the fit doesn't depend on the rows' order
-    score = fit(x[order], y[order], x.shape[1]).score(F.col("said"))
+    x, y, times = _distinct(rows, _voters(mined).size)  # sorted, so the fit doesn't depend on the rows' order
+    score = fit(x, y, x.shape[1], times).score(F.col("said"))
     return measured.select(F.col("key").alias(key), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
