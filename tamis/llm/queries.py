@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import byte_bpe, decontaminate, knn, pii, quality, secrets, sharding, simhash, token_rollup, toxicity
+from tamis.llm import byte_bpe, collocations, decontaminate, fim, knn, page_density, pii, quality, secrets, sharding, simhash, token_rollup, toxicity
 from tamis.session import Scratch
 
 SHARDS = 24
@@ -78,10 +78,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_density.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_bradley_terry_quality, op2_jump_hash_shards, op3_weak_toxicity, op4_trigram_secrets, op5_covering_simhash,
         op6_token_rollup, op7_window_decontamination, op8_voronoi_top_k, op9_weak_pii, op10_byte_bpe,
+        op11_collocations, op12_text_density, op13_fill_in_middle,
     )
     return {f.__name__: f for f in found}
 
@@ -110,6 +123,45 @@ ORACLES = {
             from v q, v c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id)
         select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
         from scored qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20""",
+    "op11_collocations": r"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) as piece
+            from documents),
+        words as (select lang, regexp_extract_all(piece, '[^ \t]+') as w from pieces),
+        totals as (select lang, cast(sum(len(w)) as bigint) as n from words group by lang),
+        grams as (
+            select lang, size, unnest(list_transform(range(1, cast(len(w) - size + 2 as bigint)), lambda i: array_to_string(w[i:i + size - 1], ' '))) as phrase
+            from words, (values (1), (2), (3), (4)) as s(size) where len(w) >= size),
+        f as (select lang, size, phrase, count(*) as n from grams group by all having count(*) >= 30),
+        cand as (select lang, size, phrase, n as a, string_split(phrase, ' ') as w from f where size >= 2),
+        cuts as (select *, unnest(range(1, size)) as k from cand),
+        cut as (
+            select c.lang, c.size, c.phrase, c.a, c.w, x.n as l, y.n as r, (2000000::hugeint * c.a) // (x.n + y.n) as score
+            from cuts c join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:c.k], ' ')
+            join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.k + 1:], ' ')
+            qualify row_number() over (partition by c.lang, c.phrase order by (2000000::hugeint * c.a) // (x.n + y.n), c.k) = 1),
+        inside as (
+            select o.lang, o.a as around, array_to_string(o.w[i:i + m - 1], ' ') as phrase
+            from (select *, unnest(range(2, size)) as m from cand) o, unnest(range(1, o.size - o.m + 2)) as t(i)),
+        kept as (select * from cut c where not exists (select 1 from inside i where i.lang = c.lang and i.phrase = c.phrase and 100::hugeint * i.around >= 80::hugeint * c.a))
+        select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, cast(score as bigint) as score
+        from kept join totals using (lang) qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000""",
+    "op13_fill_in_middle": r"""
+        with h as (
+            select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u,
+                   list_transform(range(0, 4), lambda i: cast(concat('0x', substr(sha256('1:' || doc_id), cast(1 + 8 * i as bigint), 8)) as bigint)) as h
+            from documents),
+        c as (
+            select *, cast(len(u) as bigint) as n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) as x, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) as y,
+                   case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 90 then 'plain'
+                        when h[4] % 100 < 20 then 'spm' else 'psm' end as form
+            from h),
+        p as (select *, array_to_string(u[1:x], '') as prefix, array_to_string(u[x + 1:y], '') as middle, array_to_string(u[y + 1:], '') as suffix from c)
+        select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+               sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(t) as restored_sha256
+        from p""",
 }
 
 
