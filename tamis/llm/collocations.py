@@ -1,9 +1,9 @@
 """Phrase collocations by language: contiguous phrases that occur more often than the parts they can be cut into.
 
 All phrases of 1 to `longest` words become rows, are summed in the task that reads them and then hash-aggregated by language and
-phrase. A phrase can only be frequent if each pair of neighbours in it is, so a first pass counts pairs by a 40-bit hash, and
-the second leaves out rows of phrases of which some pair's hash is too rare. The hashes that are frequent enough travel as a Bloom
-filter of a fixed size: where it fills up, or hashes meet, more rows are counted than need be, but every count is that of
+phrase. A phrase can only be frequent if all shorter ones in it are, so passes before it count the phrases of 2 words, then of 3, by a 40-bit
+hash, and rows of phrases that hold one whose hash is too rare are left out. The hashes that are frequent enough travel as Bloom
+filters of a fixed size: where one fills up, or hashes meet, more rows are counted than need be, but every count is that of
 the words themselves. Counts of first parts and rests are joined to the candidates, scored in Decimal; candidates that a longer one by a word
 explains go by an anti join; ranks come from a window over at most a bounded number of rows of each language.
 """
@@ -26,8 +26,8 @@ BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Language of rows that have none.
 UNKNOWN = "und"
 #: Bytes of text that are counted at a time; a piece that is longer stays whole.
-BLOCK = 1 << 22
-#: Bits of the filter of frequent pairs, 8 MB whatever the input, and of the hashes that are counted.
+BLOCK = 1 << 21
+#: Bits of a filter of frequent phrases, 8 MB whatever the input, and of the hashes that are counted.
 FILTER_BITS, HASH_BITS = 26, 40
 #: Spark cuts its bitmaps to so many bits.
 SLICE = 1 << 15
@@ -39,10 +39,10 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[list(BLANKS)], _KIND[list(BREAKS)] = BLANK, BREAK
 _SMALL = np.arange(256, dtype=np.uint8)
 _SMALL[65:91] += 32
-#: Odd multipliers of the word and pair hashes.
+#: Odd multipliers of the hashes.
 _R, _A, _B, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
-PAIRS = "pair long, n long"
+HASHES = "hash long, n long"
 PHRASES = "lang string, size int, phrase string, n long"
 
 
@@ -81,19 +81,17 @@ class Words:
         np.cumsum(self.sizes + 1, out=self.starts[1:])
         self.bytes[self.starts[1:] - 1] = 32
 
-    def pairs(self, lang: str) -> np.ndarray:
-        """A 64-bit hash of each word and the one after it; the last one's and those over a piece's end mean nothing."""
+    def hashes(self, lang: str) -> np.ndarray:
+        """A 64-bit hash of each word, other ones in each language."""
         if not len(self.sizes):
             return np.zeros(0, np.uint64)
         powers = np.multiply.accumulate(np.full(int(self.sizes.max()) + 1, _R))
-        within = np.arange(len(self.bytes)) - np.repeat(self.starts[:-1], self.sizes + 1)
-        terms = (self.bytes.astype(np.uint64) + np.uint64(1)) * powers[within]
+        within = np.arange(len(self.bytes), dtype=np.int32) - np.repeat(self.starts[:-1].astype(np.int32), self.sizes + 1)
+        terms = powers[within]
+        terms *= self.bytes
         terms[self.starts[1:] - 1] = 0
-        words = np.add.reduceat(terms, self.starts[:-1])
-        words = (words ^ (words >> np.uint64(29))) * _MIX
-        pair = words * _A + np.roll(words, -1) * _B + np.uint64(zlib.crc32(lang.encode()))
-        pair = (pair ^ (pair >> np.uint64(32))) * _MIX
-        return pair ^ (pair >> np.uint64(29))
+        words = np.add.reduceat(terms, self.starts[:-1]) + np.uint64(zlib.crc32(lang.encode()))
+        return (words ^ (words >> np.uint64(29))) * _MIX
 
     def strings(self, at: np.ndarray, size: int) -> pa.Array:
         """The phrases of so many words from the given words on."""
@@ -105,13 +103,29 @@ class Words:
         return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(self.bytes[places])])
 
 
-def folded(pair: np.ndarray) -> np.ndarray:
-    return (pair >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+def places(hash_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a hash in a filter."""
+    return hash_ & ((1 << FILTER_BITS) - 1), hash_ >> (HASH_BITS - FILTER_BITS)
 
 
-def places(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a folded pair in the filter."""
-    return pair & ((1 << FILTER_BITS) - 1), pair >> (HASH_BITS - FILTER_BITS)
+def possible(words: Words, lang: str, filters: list[np.ndarray], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For sizes from 1 on: whether a phrase that may be frequent begins at each word, and its hash. `filters` are those of sizes 2, 3, ..."""
+    holds, hashes = np.ones(len(words.sizes), bool), words.hashes(lang)
+    for size in range(1, longest + 1):
+        if size > 1:
+            # a longer phrase is two shorter ones that overlap in all but their ends; pairs only overlap in being of one piece
+            after = np.zeros(len(holds), bool)
+            after[:-1] = holds[1:]
+            holds = holds & after & words.joined
+            hashes = hashes * _A + np.roll(hashes, -1) * _B
+            hashes = (hashes ^ (hashes >> np.uint64(32))) * _MIX
+            hashes ^= hashes >> np.uint64(29)
+        at = (hashes >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+        if 1 < size < len(filters) + 2:
+            one, two = places(at)
+            bit = lambda p, f=filters[size - 2]: (f[p >> 3] >> (p & 7)) & 1
+            holds = holds & (bit(one) & bit(two)).astype(bool)
+        yield size, holds, at
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
@@ -123,39 +137,43 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
             yield lang, block
 
 
-def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lang, block in _texts(batch):
-            words = Words(block)
-            pair, n = np.unique(folded(words.pairs(lang)[words.joined]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], names=["pair", "n"])
+def hash_rows(lang: str, block: bytes, filters: list[np.ndarray]) -> pa.RecordBatch:
+    """(hash, n) of a block's phrases that are one word longer than those of the last filter."""
+    *_, (_, holds, hashes) = possible(Words(block), lang, filters, len(filters) + 2)
+    hash_, n = np.unique(hashes[holds], return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(hash_), pa.array(n.astype(np.int64))], names=["hash", "n"])
 
 
-def phrase_rows(lang: str, block: bytes, frequent: np.ndarray, longest: int) -> Iterator[pa.RecordBatch]:
-    """(lang, size, phrase, n) of a block's words, of its longer phrases all of whose pairs are in the filter, and, as size 0, its number of words."""
+def phrase_rows(lang: str, block: bytes, filters: list[np.ndarray], longest: int) -> Iterator[pa.RecordBatch]:
+    """(lang, size, phrase, n) of a block's words, of its longer phrases that the filters let through, and, as size 0, its number of words."""
     words = Words(block)
     names = ["lang", "size", "phrase", "n"]
-    row = lambda size, phrases, n: pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(np.full(len(phrases), size, np.int32)), phrases.cast(pa.string()), n.cast(pa.int64())], names=names)
+
+    def row(size: int, phrases: pa.Array, n: pa.Array) -> pa.RecordBatch:
+        sizes = pa.array(np.full(len(phrases), size, np.int32))
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), sizes, phrases.cast(pa.string()), n.cast(pa.int64())], names=names)
+
     yield row(0, pa.array([""]), pa.array([len(words.sizes)]))
-    one, two = places(folded(words.pairs(lang)))
-    bit = lambda p: (frequent[p >> 3] >> (p & 7)) & 1
-    holds = words.joined & (bit(one) & bit(two)).astype(bool)
-    from_here = np.ones(len(words.sizes), bool)
-    for size in range(1, longest + 1):
-        at = np.flatnonzero(from_here)
+    for size, holds, _ in possible(words, lang, filters, longest):
+        at = np.flatnonzero(holds)
         if not len(at):
             return
         counted = pc.value_counts(words.strings(at, size))
         yield row(size, counted.field(0), counted.field(1))
-        after = np.zeros(len(from_here), bool)  # a phrase one longer holds from here if it does from the next word
-        after[:-1] = from_here[1:]
-        from_here = holds & (after if size > 1 else True)
 
 
-def frequent_pairs(rows: DataFrame, least: int) -> bytes:
-    """The filter as bytes: two bits for each pair whose hash occurs `least` times or more. 8 MB at most reach the driver."""
-    counted = rows.mapInArrow(_pair_rows, PAIRS).groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    one, two = F.col("pair").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), F.shiftright("pair", HASH_BITS - FILTER_BITS)
+def frequent_hashes(rows: DataFrame, least: int, sent: list) -> bytes:
+    """The filter of phrases one word longer than those of the last of the filters `sent`: two bits for each hash that occurs `least` times or
+    more. 8 MB at most reach the driver."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = [np.frombuffer(f.value, np.uint8) for f in sent]
+        for batch in batches:
+            for lang, block in _texts(batch):
+                yield hash_rows(lang, block, filters)
+
+    counted = rows.mapInArrow(hashed, HASHES).groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    one, two = F.col("hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), F.shiftright("hash", HASH_BITS - FILTER_BITS)
     bits = counted.select(F.explode(F.array(one + 1, two + 1)).alias("bit"))  # Spark's slices begin with bit 1
     made = bits.groupBy(F.bitmap_bucket_number("bit").alias("slice")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     out = bytearray((1 << FILTER_BITS) // 8)
@@ -167,13 +185,15 @@ def frequent_pairs(rows: DataFrame, least: int) -> bytes:
 def counts(docs: DataFrame, least: int, longest: int, lang: str = "lang", text: str = "text") -> DataFrame:
     """(lang, size, phrase, n) of all phrases of 1 to `longest` words that occur `least` times or more; size 0 has a language's number of words."""
     rows = docs.select(F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(frequent_pairs(rows, least))
+    sent: list = []
+    while len(sent) < longest - 2:
+        sent.append(docs.sparkSession.sparkContext.broadcast(frequent_hashes(rows, least, sent)))
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = np.frombuffer(sent.value, np.uint8)
+        filters = [np.frombuffer(f.value, np.uint8) for f in sent]
         for batch in batches:
             for own, block in _texts(batch):
-                yield from phrase_rows(own, block, frequent, longest)
+                yield from phrase_rows(own, block, filters, longest)
 
     summed = rows.mapInArrow(exploded, PHRASES).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
     return summed.where((F.col("n") >= least) | (F.col("size") == 0))

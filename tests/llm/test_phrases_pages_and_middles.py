@@ -84,7 +84,7 @@ def test_phrases_over_blocks_and_full_filters(monkeypatch):
         monkeypatch.setattr(collocations, "BLOCK", size)
         found = Counter()
         for block in collocations.blocks(text):
-            for rows in collocations.phrase_rows("en", block, full, 4):
+            for rows in collocations.phrase_rows("en", block, [full, full], 4):
                 for r in rows.to_pylist():
                     found[r["size"], r["phrase"]] += r["n"]
         return found
