@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamis.plans import books, chats, corpora, corpus, extras, gates, judging, measures, relational, spine, turns
+from tamis.plans import books, chats, corpora, corpus, extras, gates, judging, measures, relational, searches, spine, turns
 
-FAMILIES = (corpus, chats, measures, relational, gates, corpora, judging, spine, turns, books, extras)
+FAMILIES = (corpus, chats, measures, relational, gates, corpora, judging, spine, turns, books, extras, searches)
 
 
 def registry() -> dict:
