@@ -3,7 +3,8 @@
 A batch of changes is summed to one signed row for each source, language and tokenizer version before it is shuffled, and
 written as a folder of its own. A batch counts once its folder is complete, and a batch that is complete is never written again, so a
 retry or a replay changes nothing, and a half-written batch is written anew. Totals are the sums over complete batches; a
-snapshot holds the sums of all batches up to its number, so that the batches before it needn't be read again.
+snapshot holds the sums of some batches and the list of them, so that they needn't be read again, and a batch of a lower number that comes
+after it counts all the same.
 """
 
 from __future__ import annotations
@@ -70,28 +71,30 @@ class TokenRollup:
         paths = [x.getPath().getParent().toString() for x in listed or ()]
         return {int(p.rsplit("=", 1)[1]): p for p in paths}
 
-    def _every(self, upto: int | None = None) -> tuple[int, DataFrame]:
-        """The last batch that counts, and the rows that sum to the totals up to it. Batches are taken to be numbered in order of commit."""
-        batches, snapshots = self._complete("batch"), self._complete("snapshot")
-        last = max([*batches, *snapshots, -1]) if upto is None else upto
-        base = max((n for n in snapshots if n <= last), default=None)
-        paths = [snapshots[base]] if base is not None else []
-        paths += [p for n, p in sorted(batches.items()) if (base is None or n > base) and n <= last]
-        if not paths:
-            return last, self.spark.createDataFrame([], SCHEMA)
-        return last, self.spark.read.schema(SCHEMA).parquet(*paths)
+    def _every(self) -> tuple[set[int], set[int], DataFrame]:
+        """All complete batches, those that the last snapshot holds, and the rows that sum to the totals."""
+        batches, snapshots, covers = self._complete("batch"), self._complete("snapshot"), self._complete("covers")
+        last = max((n for n in snapshots if n in covers), default=None)
+        held = set() if last is None else {r["batch"] for r in self.spark.read.schema("batch int").parquet(covers[last]).collect()}
+        paths = [] if last is None else [snapshots[last]]
+        paths += [p for n, p in sorted(batches.items()) if n not in held]
+        rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
+        return set(batches) | held, held, rows
 
     def compact(self) -> int:
-        """Writes a snapshot of all complete batches; its number, or -1 if there is none. A retry finds it there or writes it anew."""
-        last, rows = self._every()
-        if last >= 0 and last not in self._complete("snapshot"):
+        """Writes a snapshot of all complete batches; how many it holds. One that is there already is not written again, and one that was half-written doesn't
+        count, as its list of batches is written last."""
+        every, held, rows = self._every()
+        if every - held:
+            number = max([*self._complete("snapshot"), 0]) + 1
             summed = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-            summed.write.mode("overwrite").parquet(f"{self.folder}/snapshot={last}")
-        return last
+            summed.write.mode("overwrite").parquet(f"{self.folder}/snapshot={number}")
+            self.spark.createDataFrame([(n,) for n in sorted(every)], "batch int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/covers={number}")
+        return len(every)
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs, tokens over all complete batches; groups whose documents all went are left out."""
-        every = self._every()[1]
+        every = self._every()[2]
         return every.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0")
 
 
