@@ -2,16 +2,17 @@
 
 Many voters look at a text: one for each word of general lexicons, one for each word beginning that the labelled learning rows
 show to be an insult of their own, and patterns over both. A generative label model estimates each voter's
-accuracy and the voters' correlations by expectation-maximisation over a sample of all texts: labelled learning rows are drawn to
+accuracy and the voters' correlations by expectation-maximisation over all texts: labelled learning rows are drawn to
 their labels, all others get a posterior by what the voters say. A voter that repeats others counts for less. A linear classifier is
-trained on the posteriors and scores every text.
+trained on the posteriors, in which a label weighs as much as the voters together, and scores every text. Both models see the texts as a table of
+patterns, what the voters say and how many texts it is said of; a round is one pass over that table, whose tasks return sums.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -23,8 +24,12 @@ from pyspark.sql import functions as F
 from tamis.llm.quality import first_by_hash, usable_labels
 from tamis.session import Scratch
 
-#: Labelled rows, and rows without a label, that the models are fitted to, at most.
-MOST_LABELLED, MOST_UNLABELLED = 20_000, 20_000
+#: Labelled rows that the models are fitted to, at most; others count as rows without a label.
+MOST_LABELLED = 20_000
+#: Steps of a voter's value from 0 to 1 in patterns, and tasks of a pass over them at most.
+LEVELS, TASKS = 8, 16
+#: How much of a labelled row's posterior is its label, as labels may err too.
+GOLD = 0.5
 ROUNDS, STEPS, PENALTY = 40, 60, 1e-4
 #: General lexicons of insults by language; each word is a voter.
 LEXICONS = {
@@ -146,31 +151,57 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(-log, -40, 40)))
 
 
-def label_model(votes: np.ndarray, label: np.ndarray, gold_weight: float = 0.5, times: np.ndarray | None = None) -> LabelModel:
-    """EM; `label` is 0, 1 or -1 (unknown), and `times` how many texts a row stands for. A labelled row's posterior is drawn to its label by `gold_weight`, as labels may err too.
+#: Sums over the rows of a table of what a function of (features, labels, numbers of texts) returns for a part of them.
+Total = Callable[[Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]], list[np.ndarray]]
 
-    A voter's share is 1 over 1 plus its correlations, within classes, with the other voters: copies of one signal share one vote.
-    """
-    known, n = label >= 0, np.ones(len(label)) if times is None else times
-    q = np.where(known, label, np.minimum(votes.sum(1), 1) * 0.9 + 0.05).astype(float)
-    share = np.ones(votes.shape[1])
-    model = LabelModel(np.full((2, votes.shape[1]), 0.5), 0.5, share)
+
+def held(x: np.ndarray, label: np.ndarray, times: np.ndarray | None = None) -> Total:
+    """Sums over a table that is held as arrays."""
+    n = np.ones(len(label)) if times is None else times
+    return lambda part: part(x, label, n)
+
+
+def believed(model: LabelModel | None, x: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Probability of class 1 by the votes and, where there is one (0 or 1; -1 is none), the label; before the first model, some doubt for who is voted for."""
+    votes = (x > 0).astype(float)
+    if model is None:
+        return np.where(label >= 0, label, np.minimum(votes.sum(1), 1) * 0.9 + 0.05).astype(float)
+    q = model.posterior(votes)
+    return np.where(label >= 0, GOLD * label + (1 - GOLD) * q, q)
+
+
+def label_model(total: Total) -> LabelModel:
+    """EM. A voter's share is 1 over 1 plus its correlations, within classes, with the other voters: copies of one signal share one vote."""
+
+    def both(x: np.ndarray, label: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        votes = (x > 0).astype(float)
+        return [(votes.T * n) @ votes]
+
+    def round_(model: LabelModel | None):
+        def sums(x: np.ndarray, label: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+            q = believed(model, x, label)
+            weight = np.stack([n * (1 - q), n * q])
+            return [weight @ (x > 0), np.array([*weight.sum(1), (n * q * q).sum(), (n * q * (1 - q)).sum(), (n * (1 - q) ** 2).sum()])]
+
+        return sums
+
+    together, model = total(both)[0], None
     for _ in range(ROUNDS):
-        weight = np.stack([n * (1 - q), n * q])
-        p = (weight @ votes + np.array([[0.05], [0.5]])) / (weight.sum(1, keepdims=True) + 1)
-        p = np.clip(p, 1e-5, 1 - 1e-5)
-        left = votes - (q[:, None] * p[1] + (1 - q)[:, None] * p[0])
-        cov = (left.T * n) @ left / n.sum()
-        spread = np.sqrt(np.diag(cov)) + 1e-9
+        said, (none, some, qq, qr, rr) = total(round_(model))
+        p = np.clip((said + np.array([[0.05], [0.5]])) / (np.array([[none], [some]]) + 1), 1e-5, 1 - 1e-5)
+        # sums of (vote - expected)(vote - expected)' from those of votes, with expected = q p1 + (1 - q) p0
+        cross = np.outer(said[1], p[1]) + np.outer(said[0], p[0])
+        mixed = np.outer(p[1], p[0])
+        cov = (together - cross - cross.T + qq * np.outer(p[1], p[1]) + qr * (mixed + mixed.T) + rr * np.outer(p[0], p[0])) / (none + some)
+        spread = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-9
         corr = np.clip(cov / spread[:, None] / spread, 0, 1)
         np.fill_diagonal(corr, 0)
         share = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(1))
-        model = LabelModel(p, float(np.clip((n * q).sum() / n.sum(), 1e-4, 1 - 1e-4)), share)
-        new = model.posterior(votes)
-        new = np.where(known, gold_weight * label + (1 - gold_weight) * new, new)
-        if np.abs(new - q).max() < 1e-6:
+        new = LabelModel(p, float(np.clip(some / (none + some), 1e-4, 1 - 1e-4)), share)
+        done = model is not None and np.abs(new.speaks - model.speaks).max() < 1e-5 and abs(new.prior - model.prior) < 1e-5
+        model = new
+        if done:
             break
-        q = new
     return model
 
 
@@ -187,51 +218,74 @@ class Linear:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), total))))
 
 
-def train(x: np.ndarray, target: np.ndarray, times: np.ndarray | None = None) -> Linear:
-    """Ridge-penalised logistic regression on soft targets; `times` is how many texts a row stands for."""
-    full = np.column_stack([x, np.ones(len(x))])
-    share = np.full(len(x), 1 / len(x)) if times is None else times / times.sum()
-    beta = np.zeros(full.shape[1])
+def train(total: Total, voters: int, target: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Linear:
+    """Ridge-penalised logistic regression on the soft targets of rows."""
+    beta = np.zeros(voters + 1)
     keep = PENALTY * np.ones(len(beta))
     keep[-1] = 1e-9
+
+    def slopes(beta: np.ndarray):
+        def sums(x: np.ndarray, label: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+            full = np.column_stack([x, np.ones(len(x))])
+            p = 1 / (1 + np.exp(np.clip(-full @ beta, -40, 40)))
+            return [full.T @ (n * (p - target(x, label))), (full.T * (n * p * (1 - p))) @ full, np.array([n.sum()])]
+
+        return sums
+
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(np.clip(-full @ beta, -40, 40)))
-        slope = full.T @ (share * (p - target)) + keep * beta
-        curve = (full.T * (share * p * (1 - p))) @ full + np.diag(keep + 1e-6)
-        step = np.clip(np.linalg.solve(curve, slope), -2, 2)
-        beta -= step
-        if np.abs(step).max() < 1e-6:
+        slope, curve, n = total(slopes(beta))
+        step = np.clip(np.linalg.solve(curve / n + np.diag(keep + 1e-6), slope / n + keep * beta), -2, 2)
+        beta = beta - step
+        if np.abs(step).max() < 1e-5:
             break
     return Linear(tuple(map(float, beta[:-1])), float(beta[-1]))
 
 
-def fit(x: np.ndarray, label: np.ndarray, voters: int, times: np.ndarray | None = None) -> Linear:
-    """Label model, then classifier on its posteriors, from voter features and labels (0, 1, or -1 for none). A labelled row's target is
-    its label and its posterior by halves, another's its posterior. No rows: what the voters alone say."""
-    if not len(x):
-        return Linear((2.0,) * voters, -3.0)
-    votes = (x > 0).astype(float)
-    posterior = label_model(votes, label, times=times).posterior(votes)
-    return train(x, np.where(label >= 0, 0.5 * posterior + 0.5 * label, posterior), times)
+def fit(total: Total, voters: int) -> Linear:
+    """Label model, then classifier on what it believes of each row."""
+    model = label_model(total)
+    return train(total, voters, lambda x, label: believed(model, x, label))
+
+
+def patterns(said: DataFrame) -> DataFrame:
+    """(voter, value, label, times) of (voter, value, label) rows: values in LEVELS steps, one at least, so that most texts fall together."""
+    level = F.transform("value", lambda v: F.greatest(F.lit(1), F.round(v * LEVELS)).cast("tinyint"))
+    return said.select("voter", level.alias("value"), F.col("label").cast("tinyint").alias("label")).groupBy("voter", "value", "label").agg(F.count("*").alias("times"))
+
+
+def spread_over(table: DataFrame, voters: int) -> Total:
+    """Sums over a table of patterns, whatever its size: each task returns one row of numbers, at most TASKS of them reach the driver."""
+    table = table.coalesce(TASKS)
+
+    def total(part: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]) -> list[np.ndarray]:
+        def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            whole: list[np.ndarray] | None = None
+            for frame in frames:
+                for at in range(0, len(frame), 8192):
+                    rows = frame.iloc[at : at + 8192]
+                    x = np.zeros((len(rows), voters))
+                    sizes = rows["voter"].map(len).to_numpy()
+                    if sizes.sum():
+                        line = np.repeat(np.arange(len(rows)), sizes)
+                        x[line, np.concatenate(rows["voter"].to_list()).astype(int)] = np.concatenate(rows["value"].to_list()).astype(float) / LEVELS
+                    own = part(x, rows["label"].to_numpy(int), rows["times"].to_numpy(float))
+                    whole = own if whole is None else [a + b for a, b in zip(whole, own)]
+            if whole is not None:
+                yield pd.DataFrame({"sums": [[a.ravel().tolist() for a in whole]], "shapes": [[list(a.shape) for a in whole]]})
 
+        found = table.mapInPandas(sums, "sums array<array<double>>, shapes array<array<int>>").collect()
+        each = [[np.array(a).reshape(shape) for a, shape in zip(r["sums"], r["shapes"])] for r in found]
+        return [sum(parts[1:], parts[0]) for parts in zip(*each)]
 
-def _distinct(rows: pd.DataFrame, voters: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, labels and numbers of texts of the distinct (voters, values, label) rows, in an order of their own: most texts are alike, as
-    no voter speaks on them, so the matrix is far smaller than the sample."""
-    said = zip(rows["voter"], rows["value"], rows["label"])
-    count = Counter((np.asarray(i, np.int16).tobytes(), np.asarray(v, np.float32).tobytes(), int(y)) for i, v, y in said)
-    x, keys = np.zeros((len(count), voters)), sorted(count)
-    for row, (i, v, _) in enumerate(keys):
-        x[row, np.frombuffer(i, np.int16)] = np.frombuffer(v, np.float32)
-    return x, np.array([y for *_, y in keys], int), np.array([count[k] for k in keys], float)
+    return total
 
 
-def scores(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_LABELLED, threshold: float = 0.3, unlabelled: int = MOST_UNLABELLED) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_LABELLED, threshold: float = 0.3) -> DataFrame:
     """Key, score (0 to 1) and predicted (1 if the score is at least the threshold) of every row; only labels where `learn` holds are used.
 
     Null counts as the empty text, on which no voter speaks; texts of equal votes score alike. Repeated rows and null keys are kept; other
-    columns are ignored. A key that is labelled both ways teaches nothing. Both samples are the first rows by a hash of the key,
-    so they are bounded whatever keys repeat. An empty table gives no rows.
+    columns are ignored. A key that is labelled both ways teaches nothing. The labelled sample is the first rows by a hash of the key; all other rows teach
+    the label model by what the voters say. Without any row the voters alone decide. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     usable = usable_labels(labels, learn, label, key)
@@ -240,7 +294,7 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id
     mined = mine(base.join(sample, F.col("key") == F.col("label_key")).select("text", "label"))
     measured = scratch.keep(base.select("key", features(F.col("text"), mined).alias("said")), "features")
     known = measured.join(sample, F.col("key") == F.col("label_key"), "left").select("key", "said.voter", "said.value", F.coalesce("label", F.lit(-1)).alias("label"))
-    rows = pd.concat([first_by_hash(known.where(own), n, "key", "voter", "value").toPandas() for own, n in (("label >= 0", most), ("label < 0", unlabelled))])
-    x, y, times = _distinct(rows, _voters(mined).size)  # sorted, so the fit doesn't depend on the rows' order
-    score = fit(x, y, x.shape[1], times).score(F.col("said"))
+    voters, table = _voters(mined).size, scratch.keep(patterns(known), "patterns")
+    model = Linear((2.0,) * voters, -3.0) if table.isEmpty() else fit(spread_over(table, voters), voters)
+    score = model.score(F.col("said"))
     return measured.select(F.col("key").alias(key), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
