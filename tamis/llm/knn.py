@@ -32,9 +32,11 @@ def quantised(vector: Column, scale: int = 64) -> Column:
     return F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")))
 
 
-def usable(vector: Column) -> Column:
-    """Whether a vector is neither null nor holds a null, a NaN or an infinity."""
-    plain = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+def usable(vector: Column, scale: int = 64) -> Column:
+    """Whether a vector is neither null nor holds a null, a NaN, an infinity, or a component so large that a score may not be a long:
+    2 ** 31 over the root of the vector's length, once scaled."""
+    most = F.lit(2.0**31 / scale) / F.sqrt(F.size(vector))
+    plain = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < most))
     return F.coalesce(vector.isNotNull() & plain, F.lit(False))
 
 
@@ -159,12 +161,12 @@ def _solver(dims: int, k: int):
 def top_k(vectors: DataFrame, query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where `query` holds, the k rows of highest integer inner product but itself.
 
-    Ties go to the smaller key. Unusable vectors and rows without a key take no part. Of vectors of unequal length the shorter
+    Ties go to the smaller key. Unusable vectors, those whose scores may not be a long among them, and rows without a key take no part. Of vectors of unequal length the shorter
     counts as filled with zeros. Rows that share a key are rows of their own, each a candidate of the others. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "knn")
-    ready = vectors.where(usable(F.col(vector)) & F.col(key).isNotNull()).select(
+    ready = vectors.where(usable(F.col(vector), scale) & F.col(key).isNotNull()).select(
         F.monotonically_increasing_id().alias("uid"), F.col(key).cast("long").alias("vec_id"), F.coalesce(query, F.lit(False)).alias("is_query"), quantised(F.col(vector), scale).alias("v")
     )
     ready = scratch.keep(ready, "ready")

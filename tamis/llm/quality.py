@@ -154,7 +154,8 @@ def scores(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id
 
 
 def held_out(key: Column, parts: int, part: int) -> Column:
-    return F.pmod(F.crc32(key.cast("string")), F.lit(parts)) == part
+    """Whether a key's remainder is the one that is held out; a null key isn't."""
+    return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(parts)) == part, F.lit(False))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, learn: Column, columns: list[str], text: str = "text", key: str = "doc_id", label: str = "quality") -> DataFrame:

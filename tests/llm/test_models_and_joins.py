@@ -48,7 +48,7 @@ def test_correlated_voters_share_their_vote():
     vote = lambda right: np.where(rng.random(4000) < right, y, ~y).astype(float)
     one = vote(0.8)
     votes = np.column_stack([one, one, one, vote(0.9), vote(0.7)])
-    model = toxicity.label_model(votes, np.where(rng.random(4000) < 0.3, y, -1))
+    model = toxicity.label_model(toxicity.held(votes, np.where(rng.random(4000) < 0.3, y, -1)))
     assert model.share[0] < 0.5 < model.share[3] and model.speaks[1, 3] > 0.75 > 0.25 > model.speaks[0, 3]
 
 
@@ -66,6 +66,63 @@ def test_rollups_follow_signed_batches(spark):
     assert [(r.source, r.docs, r.tokens) for r in rollup.totals().collect()] == [("s", 1, 5)]
 
 
+def test_batches_that_come_after_a_snapshot_of_later_ones(spark):
+    import uuid
+
+    of = lambda n: token_rollup.inserted(spark.createDataFrame([("s", "en", "v", 10**n)], "source string, lang string, version string, tokens long"))
+    total = lambda: [(r.docs, r.tokens) for r in rollup.totals().collect()]
+    rollup = token_rollup.TokenRollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    assert rollup.compact() == 0 and rollup.commit(1, of(1)) and rollup.commit(3, of(3)) and rollup.compact() == 2
+    assert rollup.commit(2, of(2)) and total() == [(3, 1110)]
+    assert rollup.compact() == 3 and total() == [(3, 1110)]
+    assert not rollup.commit(2, of(5)) and not rollup.commit(3, of(5)) and rollup.compact() == 3 and total() == [(3, 1110)]
+    # a snapshot without its list of batches was not completed
+    of(9).write.parquet(f"{rollup.folder}/snapshot=9")
+    assert total() == [(3, 1110)] and rollup.commit(4, of(0)) and rollup.compact() == 4 and total() == [(4, 1111)]
+    empty = of(1).limit(0)
+    assert rollup.commit(5, empty) and total() == [(4, 1111)]
+
+
+def test_rollup_of_a_tokenizers_counts(spark):
+    """The totals of a real encoder's tokens, beside clashing columns."""
+    import uuid
+
+    from tamis.llm import byte_bpe
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", F.lit("x").alias("version"), F.lit(1).alias("docs"), F.lit(2).alias("tokens"))
+    counted = byte_bpe.round_trip(docs, *byte_bpe.default_vocabulary()).select("doc_id", F.col("n_tokens").alias("bpe"))
+    wide = docs.join(counted, "doc_id").select("source", "lang", "bpe", "version", "docs", "tokens")
+    rollup = token_rollup.TokenRollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit(1, token_rollup.inserted(token_rollup.by_version(wide, {"byte-bpe-50k": {"tokens": "bpe"}})))
+    coder = byte_bpe.codec(*byte_bpe.default_vocabulary())
+    want = {}
+    for r in docs.collect():
+        n, t = want.get((r.source, r.lang), (0, 0))
+        want[r.source, r.lang] = (n + 1, t + len(coder.encode(r.text or "")))
+    assert {(r.source, r.lang): (r.docs, r.tokens) for r in rollup.totals().collect()} == want
+
+
+def test_patterns_spread_over_tasks_give_the_same_model(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.random((500, 6)) * 8) / 8 * (rng.random((500, 6)) < 0.4)
+    label = np.where(rng.random(500) < 0.3, (x[:, 0] > 0).astype(int), -1)
+    said = [([int(i) for i in np.flatnonzero(r)], [float(v) for v in r[r > 0]], int(y)) for r, y in zip(x, label)]
+    table = toxicity.patterns(spark.createDataFrame(said, "voter array<smallint>, value array<float>, label int"))
+    assert table.agg(F.sum("times")).head()[0] == 500
+    one, other = toxicity.fit(toxicity.held(x, label), 6), toxicity.fit(toxicity.spread_over(table, 6), 6)
+    assert np.allclose([*one.weights, one.bias], [*other.weights, other.bias], atol=1e-6)
+
+
+def test_scores_that_are_no_long_take_no_part(spark):
+    rows = [(0, [1e300, 0.0]), (20, [-1e300, 1.0]), (40, [1.0, 2.0]), (41, [3.0e6, 2.0]), (42, [1.0, 1.0])]
+    got = [tuple(r) for r in knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 3).collect()]
+    assert sorted(got) == [(40, 1, 41, 64 * 64 * 3_000_000 + 128 * 128), (40, 2, 42, 64 * 64 + 128 * 64)]
+
+
+def test_a_null_key_is_not_held_out(spark):
+    assert [r[0] for r in spark.createDataFrame([(None,), (1,)], "k long").select(quality.held_out(F.col("k"), 1, 0)).collect()] == [False, True]
+
+
 def brute_top(rows, k):
     rows = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     width = max((len(v) for _, v in rows), default=0)
@@ -125,7 +182,7 @@ def test_pipeline_keeps_its_promises(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, docs, sf_dir)
         assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
-    assert set(registry()) == {q for q in registry() if q.startswith("op")} and len(registry()) == 10
+    assert set(registry()) == {q for q in registry() if q.startswith("op")} and len(registry()) == 13
 
 
 def test_near_copies_leave_the_pipeline(spark):

@@ -113,7 +113,7 @@ def test_classifiers_reach_the_minimum():
     rng = np.random.default_rng(3)
     x = rng.random((300, 4))
     target = np.clip(x[:, 0] * 0.6 + x[:, 1] * 0.3, 0, 1)
-    model = toxicity.train(x, target)
+    model = toxicity.train(toxicity.held(x, np.arange(300)), 4, lambda _, row: target[row])
     keep = np.array([toxicity.PENALTY] * 4 + [1e-9])
     full = np.column_stack([x, np.ones(len(x))])
     score = lambda b: 1 / (1 + np.exp(-full @ b))
@@ -137,7 +137,7 @@ def test_unlabelled_rows_teach_a_voter():
     label = np.full(4000, -1)
     label[:200] = y[:200]
     x[:200, 2] = 0
-    assert toxicity.fit(x, label, 3).weights[2] > 0.5 > toxicity.fit(x[:200], label[:200], 3).weights[2]
+    assert toxicity.fit(toxicity.held(x, label), 3).weights[2] > 0.5 > toxicity.fit(toxicity.held(x[:200], label[:200]), 3).weights[2]
 
 
 def test_quality_cut_covers_all_labelled_rows(spark):
