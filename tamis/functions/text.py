@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,18 +22,23 @@ def words(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once: Spark shares nothing between the branches and operands of a condition."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def non_ascii_letter_ratio(text: Column) -> Column:
     """Share of letters that aren't A-Z or a-z; 0 without letters."""
-    letters, plain = F.regexp_count(text, F.lit(r"\p{L}")), F.regexp_count(text, F.lit("[A-Za-z]"))
-    return F.when(letters > 0, (letters - plain) / letters).otherwise(F.lit(0.0))
+    other = lambda letters: F.length(F.regexp_replace(letters, "[A-Za-z]+", ""))
+    return _with(F.regexp_replace(text, r"\P{L}+", ""), lambda x: F.when(F.length(x) > 0, other(x) / F.length(x)).otherwise(F.lit(0.0)))
 
 
 def stopword_ratio(text: Column) -> Column:
-    """Share of words that are English stopwords; 0 without words."""
-    found = words(text)
-    stop = F.array(*map(F.lit, STOPWORDS.split()))
-    hits = F.size(F.filter(found, lambda w: F.array_contains(stop, w)))
-    return F.when(F.size(found) > 0, hits / F.size(found)).otherwise(F.lit(0.0))
+    """Share of words that are English stopwords; 0 without words. Words hold letters and apostrophes only, so a digit can stand for a stopword."""
+    stop = "(?<![^ ])(?:" + "|".join(STOPWORDS.split()) + ")(?![^ ])"
+    hits = lambda line: F.length(F.regexp_replace(F.regexp_replace(line, stop, "1"), "[^1]+", ""))
+    count = lambda line: F.length(F.regexp_replace(line, "[^ ]+", "")) + 1
+    return _with(F.array_join(words(text), " "), lambda x: F.when(x != "", hits(x) / count(x)).otherwise(F.lit(0.0)))
 
 
 def hygiene_reason(text: Column) -> Column:

@@ -40,15 +40,23 @@ def placed(rows: DataFrame, group: str, order: list[Column], total: str | None =
     return out.drop(part, named, part + "_", "n0")
 
 
+def counted(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, n, running, whole): how often each value of a group occurs, up to and with it, and how many there are. Equal values are one row before any is
+    moved, so none of them can fill a task; null values don't count."""
+    each = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
+    return placed(each, group, [F.col(value)], "n")
+
+
 def quantiles(rows: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
     """(group, rows, q0, q1, ...): exact quantiles with linear interpolation; null values don't count."""
-    at = placed(rows.where(F.col(value).isNotNull()).select(group, value), group, [F.col(value)])
+    at = counted(rows, group, value).withColumn("rows", F.col("whole"))
     spot = lambda q: F.lit(q) * (F.col("rows") - 1)
+    holds = lambda place: (F.col("running") - F.col("n") <= place) & (place < F.col("running"))
     wanted = F.lit(False)
     for q in shares:
-        wanted = wanted | (F.col("place") - 1 == F.floor(spot(q))) | (F.col("place") - 1 == F.ceil(spot(q)))
+        wanted = wanted | holds(F.floor(spot(q))) | holds(F.ceil(spot(q)))
     near = at.where(wanted)
-    pick = lambda end: F.max(F.when(F.col("place") - 1 == end, F.col(value)))
+    pick = lambda end: F.max(F.when(holds(end), F.col(value)))
     found = []
     for i, q in enumerate(shares):
         low, high, rest = pick(F.floor(spot(q))), pick(F.ceil(spot(q))), F.max(spot(q) - F.floor(spot(q)))
@@ -58,6 +66,7 @@ def quantiles(rows: DataFrame, group: str, value: str, shares: list[float]) -> D
 
 def nearest_rank(rows: DataFrame, group: str, value: str, share: float) -> DataFrame:
     """(group, rows, q): the value at place max(1, ceil(share * rows)); null values don't count."""
-    at = placed(rows.where(F.col(value).isNotNull()).select(group, value), group, [F.col(value)])
-    hit = at.where(F.col("place") == F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("rows"))))
-    return hit.select(group, "rows", F.col(value).alias("q"))
+    at = counted(rows, group, value)
+    place = F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("whole")))
+    hit = at.where((F.col("running") - F.col("n") < place) & (place <= F.col("running")))
+    return hit.select(group, F.col("whole").alias("rows"), F.col(value).alias("q"))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tamis.functions import grams as G
 from tamis.functions import text as T
 from tamis.operators import dedup, sampling
+from tamis.session import Scratch
 
 _STOP = "'" + "', '".join(w.replace("'", "''") for w in T.STOPWORDS.split()) + "'"
-_WORDS = r"regexp_extract_all(lower(substr(text, 1, 200000)), '\p{L}+(?:''\p{L}+)?')"
+_WORDS = r"regexp_extract_all(lower(text), '\p{L}+(?:''\p{L}+)?')"
 _REASON = rf"""
     select *, case
         when coalesce(text, '') = '' then 'empty'
@@ -19,8 +20,8 @@ _REASON = rf"""
         when len(words) = 0 or len(list_filter(words, lambda w: w in ({_STOP}))) / len(words) < 0.10 then 'not_english'
         else 'kept' end as reason
     from (select *, {_WORDS} as words,
-            len(regexp_extract_all(substr(text, 1, 200000), '\p{{L}}')) as letters,
-            len(regexp_extract_all(substr(text, 1, 200000), '[A-Za-z]')) as plain from documents)"""
+            len(regexp_extract_all(text, '\p{{L}}')) as letters,
+            len(regexp_extract_all(text, '[A-Za-z]')) as plain from documents)"""
 _UNIT = "cast(concat('0x', substr(sha256(concat_ws('|', {})), 1, 8)) as ubigint)::double / 4294967296.0"
 _LINES = "select doc_id, trim(l) as line from (select doc_id, unnest(string_split(text, chr(10))) as l from documents) where trim(l) <> ''"
 
@@ -131,14 +132,15 @@ def bytes_per_word(spark, d):
 
 
 def overlap_measure(spark, d):
-    """13-word windows of the benchmark that documents hold: documents and windows by item."""
-    def grams(rows: DataFrame, key: str) -> DataFrame:
+    """13-word windows of the benchmark that documents hold: documents and windows by item. Windows of documents are made distinct after the join, which
+    leaves almost none; the benchmark's are a written table, so that Spark knows its size and broadcasts it if it is small."""
+    def windows(rows: DataFrame, key: str) -> DataFrame:
         w = rows.select(key, T.words(F.col("text")).alias("w"))
         at = w.select(key, F.explode_outer(G.grams(F.col("w"), 13)).alias("g")).where("g is not null")
-        return at.select(key, F.xxhash64("g").alias("h"), "g").distinct()
+        return at.select(key, F.xxhash64("g").alias("h"), "g")
 
-    bench = grams(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id")
-    hits = grams(_docs(spark, d, "doc_id", "text"), "doc_id").join(bench, ["h", "g"])
+    bench = Scratch(spark, "overlap").keep(windows(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id").distinct(), "windows")
+    hits = windows(_docs(spark, d, "doc_id", "text"), "doc_id").join(bench, ["h", "g"])
     return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("g").alias("windows"))
 
 

@@ -176,7 +176,7 @@ ORACLES = {
         b as (select lower(v) as word, count(*) as uses, count(*) filter (regexp_matches(v, '^\p{{Lu}}')) as capital from e group by 1 having count(distinct doc_id) >= 10), h as (select distinct unnest({_W}) as word from benchmark)
         select word, uses, concat_ws(',', case when uses >= 5 and capital / uses > 0.5 then 'proper' end, case when word in (select word from h) then 'held_out' end, case when length(word) = 1 then 'letter' end) as flags from b""",
     "past_forms": f"""
-        with c as (select word, count(*) as n from (select unnest({_W}) as word from documents) group by 1),
+        with c as materialized (select word, count(*) as n from (select unnest({_W}) as word from documents) group by 1),
         b as (select word as base, n as base_uses, case when ends_with(word, 'e') then word || 'd' when regexp_full_match(word, '.+[^aeiou]y') then left(word, length(word) - 1) || 'ied' else word || 'ed' end as form from c where length(word) > 2)
         select word, base, n, base_uses from b join c on form = word""",
     "core_report": f"""
