@@ -11,8 +11,10 @@ from tamis.functions import grams as G
 from tamis.functions import text as T
 from tamis.functions.html import html_text
 from tamis.operators import minhash, ordered
-from tamis.sources import jsonl
+from tamis.session import Scratch
+from tamis.sources import jsonl, ranges
 from tamis.streaming import events as stream
+from tamis.streaming import jobs
 
 
 def _t(spark, d, name) -> DataFrame:
@@ -142,8 +144,34 @@ def json_lines(spark, d):
     return jsonl.round_trip_report(spark, _t(spark, d, "documents").select("doc_id", "source", "text"))
 
 
+def ranged_lines(spark, d):
+    """The documents written as plain and packed line files, one of them torn, and read back by byte ranges and frames: documents, characters and keys by
+    source and state. The torn line is the first document's, cut in its text."""
+    scratch = Scratch(spark, "ranged")
+    docs = _t(spark, d, "documents").select("doc_id", "source", "text")
+    plain, packed, torn = (scratch.path(f"lines/{kind}") for kind in ("plain", "packed", "torn"))
+    docs.where("doc_id % 2 = 0").write.json(plain)
+    docs.where("doc_id % 2 <> 0").write.option("compression", "gzip").json(packed)
+    first = docs.orderBy("doc_id").select(F.to_json(F.struct("doc_id", "source")).alias("line")).head()
+    file = scratch._path(f"{torn}/part.jsonl")
+    out = scratch._files(file).create(file)
+    out.write(bytearray((first["line"][:-1] + ', "te').encode()) if first else bytearray())
+    out.close()
+    ranges.register(spark)
+    back = spark.read.format("json_ranges").schema("doc_id long, source string, text string, _state string").option("rangeBytes", 100_000).load(scratch.path("lines"))
+    counted = back.groupBy("source", F.col("_state").alias("state"))
+    return counted.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.coalesce(F.sum("doc_id"), F.lit(0)).alias("keys"))
+
+
+def _arriving(spark, d, files=4):
+    """The events as files that hold times of all days, each; a stream takes one of them a batch."""
+    scratch = Scratch(spark, "arriving")
+    scratch.keep(_t(spark, d, "events").repartition(files, F.xxhash64("event_id")), "events")
+    return scratch.path("events")
+
+
 def streamed_hours(spark, d):
-    return stream.hourly(spark, d, "events.parquet")
+    return stream.hourly(spark, _arriving(spark, d), "*.parquet", 1)
 
 
 def streamed_first_documents(spark, d):
@@ -151,15 +179,35 @@ def streamed_first_documents(spark, d):
 
 
 def streamed_windows(spark, d):
-    return stream.sliding(spark, d, "events.parquet")
+    return stream.sliding(spark, _arriving(spark, d), "*.parquet", 1)
 
 
 def streamed_join(spark, d):
-    return stream.joined(spark, d, "events.parquet")
+    return stream.joined(spark, _arriving(spark, d), "*.parquet", 1)
 
 
 def streamed_attempts(spark, d):
-    return stream.attempts(spark, d, "events.parquet")
+    """Events as tries of users' jobs, in keyed state over several batches in any order of time."""
+    back = jobs.with_store(spark)
+    try:
+        events = spark.readStream.schema(_t(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(_arriving(spark, d))
+        return jobs.attempts(events, Scratch(spark, "attempts").path("run")).select("user_id", "tries", "state")
+    finally:
+        back()
+
+
+def ranked_commits(spark, d):
+    """Lines of an order that arrive in any order, committed in that of their numbers: for each order how many lines and the sum of rank times part."""
+    lines = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("grp"), "l_linenumber").agg(F.min("l_partkey").alias("item"))
+    ranked = lines.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy("l_linenumber")).cast("long") - 1).select("grp", "rank", "item")
+    scratch = Scratch(spark, "ranked")
+    kept = scratch.keep(ranked.repartition(3, F.xxhash64("grp", "rank")), "lines")
+    back = jobs.with_store(spark)
+    try:
+        done = jobs.in_rank(spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 1).parquet(scratch.path("lines")), scratch.path("run"))
+        return done.groupBy("grp").agg(F.count("*").alias("lines"), F.sum((F.col("rank") + 1) * F.col("item")).alias("weighted"))
+    finally:
+        back()
 
 
 _W = r"regexp_extract_all(lower(text), '\p{L}+(?:''\p{L}+)?')"
@@ -212,6 +260,12 @@ ORACLES = {
         union all select 'DISCOUNT', count(*) from lineitem where l_discount is null or l_discount < 0 or l_discount > 0.05
         union all select 'LENGTH', count(*) from documents where n_chars <> length(text)""",
     "json_lines": "select source, count(*) as docs, cast(sum(strlen(text)) as bigint) as bytes from documents group by source union all select 'bad_json', 1, 16",
+    "ranged_lines": """
+        select source, 'ok' as state, count(*) as docs, cast(coalesce(sum(length(text)), 0) as bigint) as chars, cast(sum(doc_id) as bigint) as keys from documents group by source
+        union all select null, 'torn', 1, 0, 0 from (select 1 from documents limit 1)""",
+    "ranked_commits": """
+        with l as (select l_orderkey as grp, min(l_partkey) as item, row_number() over (partition by l_orderkey order by l_linenumber) as place from lineitem group by l_orderkey, l_linenumber)
+        select grp, count(*) as lines, cast(sum(place * item) as bigint) as weighted from l group by 1""",
     "streamed_hours": "select date_trunc('hour', ts) as hour, event_type, count(*) as n, round(sum(value), 2) as value from events group by 1, 2",
     "streamed_windows": """
         with e as (select event_type, time_bucket(interval '2 hours', ts, timestamp '1970-01-01') as slot from events),
