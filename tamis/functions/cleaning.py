@@ -59,22 +59,18 @@ def without_control(text: Column) -> Column:
 
 
 def middle(text: Column, most: int) -> Column:
-    """At most so many bytes from a long text's middle, cut at empty lines if it holds two; shorter texts and null stay."""
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
-            raw = (text or "").encode()
-            if len(raw) <= most:
-                return text
-            start = (len(raw) - most) // 2
-            part = raw[start : start + most].decode(errors="ignore")
-            first, last = part.find("\n\n"), part.rfind("\n\n")
-            return (part[first + 2 : last] if first < last else part).strip()
-
-        return texts.map(one)
-
-    return cut(text)
+    """At most so many bytes from a long text's middle, cut at empty lines if it holds two; shorter texts and null stay. Characters that the byte
+    cut would split are left out: a byte 80 to BF goes on with a character."""
+    raw, size = F.encode(text, "UTF-8"), F.octet_length(text)
+    begin = F.floor((size - most) / 2).cast("int")
+    end = begin + most
+    split_before = F.length(F.regexp_extract(F.hex(F.substr(raw, begin + 1, F.lit(3))), "^(?:[89AB].)*", 0)) / 2
+    split_after = F.length(F.regexp_extract(F.hex(F.substr(raw, end - 2, F.lit(4))), "(?:[89AB].)*$", 0)) / 2
+    begin, end = begin + split_before.cast("int"), end - F.when(end < size, split_after.cast("int")).otherwise(0)
+    part = F.decode(F.substr(raw, begin + 1, end - begin), "UTF-8")
+    first, last = F.instr(part, "\n\n"), F.length(part) - F.instr(F.reverse(part), "\n\n")
+    inner = F.when((first > 0) & (first < last), F.substr(part, first + 2, last - first - 2)).otherwise(part)
+    return F.when(size > most, F.regexp_replace(inner, r"^\s+|\s+$", "")).otherwise(text)
 
 
 def wiki_reason(wiki: Column, namespace: Column, extra: tuple[tuple[str, str], ...] = (("wikibooks.com", "102"), ("wikibooks.com", "110"))) -> Column:

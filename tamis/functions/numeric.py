@@ -48,16 +48,25 @@ def t_quantile(p: float, freedom: float) -> float:
     return (low + high) / 2
 
 
-def upper_share(hits: int, n: int, alpha: float = 0.05) -> float:
-    """The exact two-sided upper limit of a share of which `hits` in n were seen: the share at which so few have a chance of alpha / 2."""
-    if hits >= n:
-        return 1.0
-    low, high = hits / n, 1.0
+def beta_quantile(p: float, a: float, b: float) -> float:
+    """The x of which P(X <= x) = p for a beta distribution: Newton steps from the mean, kept between the ends known so far."""
+    x, low, high = a / (a + b), 0.0, 1.0
+    size = math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
     for _ in range(HALVINGS):
-        middle = (low + high) / 2
-        chance = 1 - incomplete_beta(hits + 1, n - hits, middle)
-        low, high = (middle, high) if chance > alpha / 2 else (low, middle)
-    return high
+        gap = incomplete_beta(a, b, x) - p
+        low, high = (low, x) if gap > 0 else (x, high)
+        slope = math.exp((a - 1) * math.log(x) + (b - 1) * math.log1p(-x) - size)
+        step = x - gap / slope if slope else low
+        new = step if low < step < high else (low + high) / 2
+        if abs(new - x) < 1e-15:
+            break
+        x = new
+    return x
+
+
+def upper_share(hits: int, n: int, alpha: float = 0.05) -> float:
+    """The exact two-sided upper limit of a share of which `hits` in n were seen: a quantile of the beta distribution."""
+    return 1.0 if hits >= n else beta_quantile(1 - alpha / 2, hits + 1, n - hits)
 
 
 @F.pandas_udf(DoubleType())

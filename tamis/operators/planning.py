@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-def group_targets(supply: dict[str, float], shares: dict[str, float], total: float, fill: bool = False) -> dict[str, float]:
-    """Bytes to take from each group. Short supply shrinks the total so that all shares hold, or, with `fill`, hands what is missing
-    to the other groups in proportion to their shares until no group is short."""
-    wanted = {g: s for g, s in shares.items() if s > 0}
+
+def group_targets(groups: DataFrame, total: float, fill: bool = False) -> DataFrame:
+    """(name, target) of groups (name, supply, share): what to take from each, in shares of the total.
+
+    Where supply is short the total shrinks until all shares hold; with `fill` short groups give all they have, and the others the rest in their
+    shares. By falling need, share over supply, the short groups come first, so running sums along that order tell which they are, and how much
+    is left for one share. Groups without a share get nothing; null supply counts as none. There is a row for each group, so the order is one task's.
+    """
+    plain = groups.select("name", F.coalesce(F.col("supply"), F.lit(0)).cast("double").alias("supply"), F.coalesce(F.col("share"), F.lit(0)).cast("double").alias("share"))
+    wanted = F.col("share") > 0
     if not fill:
-        shrink = min([1.0, *(supply[g] / (s * total) for g, s in wanted.items())])
-        return {g: s * total * shrink for g, s in shares.items()}
-    out, left = dict.fromkeys(shares, 0.0), float(total)
-    while wanted:
-        norm = sum(wanted.values())
-        short = [g for g, s in wanted.items() if supply[g] * norm < left * s]
-        for g in short:
-            out[g] = float(supply[g])
-            left -= supply[g]
-            del wanted[g]
-        if not short:
-            return out | {g: left * s / norm for g, s in wanted.items()}
-    return out
+        shrink = F.least(F.lit(1.0), F.min(F.when(wanted, F.col("supply") / (F.col("share") * total))).over(Window.partitionBy()))
+        return plain.select("name", F.when(wanted, F.col("share") * total * shrink).otherwise(0.0).alias("target"))
+    order = Window.orderBy((~wanted).cast("int"), F.col("supply") / F.nullif(F.col("share"), F.lit(0.0)), "name")
+    so_far, from_here = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    left = F.lit(total) - F.coalesce(F.sum("supply").over(so_far), F.lit(0.0))
+    ranked = plain.withColumn("level", F.when(wanted, left / F.sum("share").over(from_here))).withColumn("short", wanted & (F.col("supply") < F.col("share") * F.col("level")))
+    level = F.first(F.when(wanted & ~F.col("short"), F.col("level")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return ranked.select("name", F.when(~wanted, 0.0).when(F.col("short"), F.col("supply")).otherwise(F.col("share") * level).alias("target"))
 
 
 def nearest_mix(items: list[tuple[str, str]], target: dict[str, float], count: int, first: str) -> list[str] | None:

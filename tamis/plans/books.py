@@ -60,7 +60,7 @@ def relabelled_logs(spark, d):
     """Conversations as logs with planted speakers, relabelled: lines and speakers of each."""
     line = F.concat(F.lit("[10:0"), (F.col("turn") % 10).cast("string"), F.lit("] <nick_"), "role", F.lit("> nick_user said "), F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " "))
     logs = _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("log"))
-    clean = logs.select("conv_id", F.explode(F.split(books.relabelled_log(F.col("log"), frozenset()), "\n")).alias("l"))
+    clean = books.relabelled_logs(logs, "conv_id", "log").select("conv_id", F.explode(F.split("log", "\n")).alias("l"))
     return clean.groupBy("conv_id").agg(F.count("*").alias("lines"), F.countDistinct(F.regexp_extract("l", r"^(P[0-9]+): ", 1)).alias("speakers"), F.count_if(F.contains("l", F.lit("nick_user"))).alias("named"))
 
 
@@ -118,6 +118,10 @@ ORACLES = {
         kw as (select doc_id, unnest(lw) as word from e where reason is null), s as (select doc_id, count(*) filter (word in (select word from known)) / count(*) as rate from kw group by doc_id)
         select doc_id, letters_in, letters_kept, case when letters_in > 0 and letters_kept < 0.5 * letters_in then 'ocr_mostly_junk' when coalesce(rate, 0) < 0.75 then 'ocr_low_words' end as reason
         from b left join s using (doc_id)""",
+    "relabelled_logs": """
+        with c as (select conv_id, count(*) as n, count(*) filter (role = 'user') as users, count(distinct role) as speakers,
+                          sum(1 + len(regexp_extract_all(lower(coalesce(text, '')), 'nick_user'))) as said from conversations group by 1)
+        select conv_id, n as lines, speakers, case when users = 0 or said > 3 * users + 5 then n else 0 end as named from c""",
     "twin_rows": """
         with r as (select o_orderkey // 2 as id, o_orderkey % 2 = 1 as twin, o_custkey % 3 as responder, o_orderpriority as render, o_orderstatus = 'F' as ok from orders)
         select a.responder, count(*) as own, count(b.id) as twins, count(*) filter (a.ok and b.ok) as both_right from (select * from r where not twin) a
@@ -133,4 +137,4 @@ ORACLES = {
         r as (select *, round(noun / greatest(sum(noun) over (), 1), 12) as rn, round(verb / greatest(sum(verb) over (), 1), 12) as rv, round(adj / greatest(sum(adj) over (), 1), 12) as ra from b)
         select word, tf, case when noun + verb + adj < greatest(3, 0.05 * tf) then 'unk' when rv >= rn and rv >= ra then 'verb' when rn >= ra then 'noun' else 'adj' end as kind from r""",
 }
-QUERIES = {name: globals()[name] for name in (*ORACLES, "end_matter", "masked_texts", "span_counts", "relabelled_logs", "compressed_roles")}
+QUERIES = {name: globals()[name] for name in (*ORACLES, "end_matter", "masked_texts", "span_counts", "compressed_roles")}

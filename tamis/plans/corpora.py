@@ -186,9 +186,10 @@ def hash_prefix_split(spark, d):
 
 def sample_plan(spark, d):
     """Bytes to take by language so that the shares hold; short supply shrinks the whole."""
-    have = {r["lang"]: r["b"] for r in _docs(spark, d).where(F.col("lang").isin(*SHARES)).groupBy("lang").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
-    plan = planning.group_targets({g: have.get(g, 0) for g in SHARES}, SHARES, 1e12)
-    return spark.createDataFrame([(g, float(round(x, 3))) for g, x in plan.items()], "lang string, target double")
+    shares = spark.createDataFrame(list(SHARES.items()), "name string, share double")
+    have = _docs(spark, d).groupBy(F.col("lang").alias("name")).agg(F.sum(F.octet_length("text")).alias("supply"))
+    plan = planning.group_targets(shares.join(have, "name", "left"), 1e12)
+    return plan.select(F.col("name").alias("lang"), F.round("target", 3).alias("target"))
 
 
 def modular_sample(spark, d):

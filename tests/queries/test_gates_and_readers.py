@@ -89,9 +89,17 @@ def test_tied_units_stay_together(spark):
     assert got == {1: True, 2: True, 3: True, 4: False, 5: False}
 
 
-def test_plans():
-    assert planning.group_targets({"a": 50, "b": 100}, {"a": 0.5, "b": 0.5}, 150) == pytest.approx({"a": 50.0, "b": 50.0})
-    assert planning.group_targets({"a": 50, "b": 500}, {"a": 0.5, "b": 0.5}, 150, fill=True) == {"a": 50.0, "b": 100.0}
+def test_plans(spark):
+    def targets(rows, total, fill=False):
+        groups = spark.createDataFrame(rows, "name string, supply double, share double")
+        return {r.name: r.target for r in planning.group_targets(groups, total, fill).collect()}
+
+    assert targets([("a", 50.0, 0.5), ("b", 100.0, 0.5)], 150.0) == pytest.approx({"a": 50.0, "b": 50.0})
+    assert targets([("a", 50.0, 0.5), ("b", 500.0, 0.5)], 150.0, True) == {"a": 50.0, "b": 100.0}
+    # one short group makes another one short; all short; no supply and no share
+    assert targets([("a", 10.0, 0.5), ("b", 45.0, 0.3), ("c", 900.0, 0.2), ("d", 5.0, 0.0)], 100.0, True) == pytest.approx({"a": 10.0, "b": 45.0, "c": 45.0, "d": 0.0})
+    assert targets([("a", 10.0, 0.5), ("b", 20.0, 0.5), ("c", None, None)], 100.0, True) == {"a": 10.0, "b": 20.0, "c": 0.0}
+    assert targets([("a", 1000.0, 1.0), ("b", None, 1.0)], 100.0) == {"a": 0.0, "b": 0.0}
     assert planning.nearest_mix([("1", "B"), ("2", "A"), ("3", "C"), ("4", "B")], {"A": 0.5, "B": 0.5}, 3, "A") == ["2", "1", "3"]
     assert planning.nearest_mix([("1", "B")], {"B": 1.0}, 2, "A") is None
 
@@ -184,7 +192,8 @@ def test_files_and_tables(spark, tmp_path):
 def test_logs_lose_their_names(spark):
     log = "[12:01] <Anna> hi bob\n=== x joined\n<bob> anna: hello\n* anna waves\n<jo> jo is here\nserver note"
     want = "P1: hi P2\nP2: P1: hello\n* P1 waves\nP3: jo is here\nserver note"
-    assert column(spark, [log, None, ""], lambda v: books.relabelled_log(v, frozenset())) == [want, None, ""]
+    df = spark.createDataFrame([(1, log), (2, None), (3, "")], "id long, log string")
+    assert {r.id: r.log for r in books.relabelled_logs(df, "id", "log").collect()} == {1: want, 2: None, 3: ""}
 
 
 def test_values_are_masked_and_found(spark):
