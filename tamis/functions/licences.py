@@ -29,6 +29,16 @@ def canonical(raw: Column) -> Column:
     )
 
 
+#: How a text says what it is licensed under, and words of a licence's title that its short name leaves out.
+SAID = r"(?i)\b(?:licen[sc]ed|released) under (?:the )?([^\n]{2,60}?)\.?(?:\n|$)"
+TITLE_WORDS = r"(?i)[, ]*\b(?:licen[sc]e|version)\b"
+
+
+def in_text(text: Column) -> Column:
+    """The licence that a text says it is under, as it names it but for words of titles; null where it says none."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(F.coalesce(text, F.lit("")), SAID, 1), TITLE_WORDS, ""), F.lit(""))
+
+
 def composite_reason(whole: Column, parts: Column) -> Column:
     """license if the whole or any part is refused, else license_component_missing if a part is null or 'None', else null."""
     blank = lambda p: p.isNull() | (p == "None")

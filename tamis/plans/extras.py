@@ -180,7 +180,7 @@ ORACLES = {
         b as (select word as base, n as base_uses, case when ends_with(word, 'e') then word || 'd' when regexp_full_match(word, '.+[^aeiou]y') then left(word, length(word) - 1) || 'ied' else word || 'ed' end as form from c where length(word) > 2)
         select word, base, n, base_uses from b join c on form = word""",
     "core_report": f"""
-        with dated as ({gates.ORACLES["written_dates"].replace(gates.planted_sql(gates.DATES), gates.planted_sql(gates.DATES, "doc_id // 5"))}),
+        with dated as ({gates.ORACLES["written_dates"].replace(gates.written_sql(), gates.planted_sql(gates.DATES, "doc_id // 5"))}),
         c as (select doc_id, source, lang, status, {gates.planted_sql(gates.LICENCES[:12])} as lic,
                      array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: not regexp_full_match(l, '[\\s|]*\\|[\\s|]*')), chr(10)) as text from documents join dated using (doc_id))
         select source, case when ({gates._canonical("lic")}) is null then 'license' when status = 'post_cutoff' then 'date_gate' when status = 'unparseable' then 'date_unparseable'

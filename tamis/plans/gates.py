@@ -40,24 +40,58 @@ def planted_sql(values: tuple, key: str = "doc_id") -> str:
     return f"[{quoted}][cast({key} as bigint) % {len(values)} + 1]"
 
 
+#: Forms in which a document's day is written, for Spark and for DuckDB.
+FORMS = (
+    ("yyyy-MM-dd", "%Y-%m-%d"), ("MM/dd/yyyy", "%m/%d/%Y"), ("MMMM d, yyyy", "%B %-d, %Y"), ("d MMMM yyyy", "%-d %B %Y"), ("MMM d, yyyy", "%b %-d, %Y"),
+    ("yyyy-MM-dd'T10:00:00Z'", "%Y-%m-%dT10:00:00Z"),
+)
+_NUMBER = "(n_chars * 37 + doc_id * 11)"
+
+
+def _number() -> Column:
+    return F.col("n_chars") * 37 + F.col("doc_id") * 11
+
+
+def _day() -> Column:
+    """A document's day by its length and number, from 2004 to 2025: as many different ones as the table has documents, up to 8,000."""
+    return F.date_add(F.lit("2004-01-01").cast("date"), F.pmod(_number(), F.lit(8000)).cast("int"))
+
+
+_DAY_SQL = f"(date '2004-01-01' + cast({_NUMBER} % 8000 as integer))"
+
+
+def written() -> Column:
+    """A document's day in one of several forms; each seventh document has a planted odd one."""
+    key = F.col("doc_id")
+    form = F.coalesce(*(F.when(key % len(FORMS) == i, F.date_format(_day(), f)) for i, (f, _) in enumerate(FORMS)))
+    return F.when(key % 7 == 0, planted(DATES, F.floor(key / 7))).otherwise(form)
+
+
+def written_sql() -> str:
+    forms = " ".join(f"when {i} then strftime({_DAY_SQL}, '{f}')" for i, (_, f) in enumerate(FORMS))
+    return f"case when doc_id % 7 = 0 then {planted_sql(DATES, 'doc_id // 7')} else case doc_id % {len(FORMS)} {forms} end end"
+
+
 def _docs(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
 def iso_dates(spark, d):
     """Each document's date status by the gate on ISO dates."""
-    return _docs(spark, d).select("doc_id", D.iso_status(planted(DATES, F.col("doc_id"))).alias("status"))
+    return _docs(spark, d).select("doc_id", D.iso_status(written()).alias("status"))
 
 
 def _path() -> Column:
     """A planted address with a date in its path, or none."""
-    return F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("https://www.news.example:80/"), (F.lit(2004) + F.col("doc_id") % 22).cast("string"), F.lit("/"), (F.col("doc_id") % 14).cast("string"), F.lit("/x/")))
+    return F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("https://www.news.example:80/"), (F.lit(2004) + _number() % 22).cast("string"), F.lit("/"), (_number() % 14).cast("string"), F.lit("/x/")))
 
 
 def written_dates(spark, d):
     """Status, partial date and basis by the written date, else by the date in the address."""
-    found = D.classified(planted(DATES, F.col("doc_id")), _path(), "news.example", month_first=True)
-    return _docs(spark, d).select("doc_id", found.alias("c")).select("doc_id", "c.*")
+    # an exploded array of one row keeps Spark from writing the values' expressions out wherever the gate reads them
+    rows = _docs(spark, d).select("doc_id", F.explode(F.array(F.struct(written().alias("v"), _path().alias("u")))).alias("x"))
+    found = D.classified(F.col("x.v"), F.col("x.u"), "news.example", month_first=True)
+    return rows.select("doc_id", found.alias("c")).select("doc_id", "c.*")
 
 
 def url_dates(spark, d):
@@ -65,8 +99,8 @@ def url_dates(spark, d):
 
 
 def licence_names(spark, d):
-    """Documents by canonical licence; refused ones under null."""
-    return _docs(spark, d).groupBy(L.canonical(planted(LICENCES, F.col("doc_id"))).alias("licence")).agg(F.count("*").alias("docs"))
+    """Documents by canonical licence: the one that a text says it is under, else a planted one; refused ones under null."""
+    return _docs(spark, d).groupBy(L.canonical(F.coalesce(L.in_text(F.col("text")), planted(LICENCES, F.col("doc_id")))).alias("licence")).agg(F.count("*").alias("docs"))
 
 
 def thread_licences(spark, d):
@@ -79,8 +113,11 @@ def thread_licences(spark, d):
 def post_gates(spark, d):
     """Date and edit gate of posts, and the licence that holds: the post's own or its era's."""
     key = F.col("doc_id")
-    created, raw = planted(DATES[:1] + DATES[11:18] + ("2010-01-01", "2011-04-08", "2018-05-01"), key), planted(LICENCES, F.floor(key / 3))
-    return _docs(spark, d).select("doc_id", D.post_gate(created, planted(EDITS, F.floor(key / 11))).alias("reason"), F.when(F.length(created) >= 10, L.of_post(raw, created)).alias("licence"))
+    odd = planted(DATES[:1] + DATES[11:18] + ("2010-01-01", "2011-04-08", "2018-05-01"), F.floor(key / 7))
+    created, raw = F.when(key % 7 == 0, odd).otherwise(F.date_format(_day(), "yyyy-MM-dd")), planted(LICENCES, F.floor(key / 3))
+    later = F.date_format(F.date_add(_day(), (F.col("n_chars") % 900).cast("int")), "yyyy-MM-dd'T10:00:00Z'")
+    edited = F.when(key % 5 == 0, planted(EDITS, F.floor(key / 11))).otherwise(later)
+    return _docs(spark, d).select("doc_id", D.post_gate(created, edited).alias("reason"), F.when(F.length(created) >= 10, L.of_post(raw, created)).alias("licence"))
 
 
 def wiki_pages(spark, d):
@@ -169,7 +206,7 @@ _DAY = f"regexp_extract(trim(v), '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1)"
 _ISO = f"""case when coalesce(trim(v), '') = '' then 'undated' when {_DAY} = '' or substr({_DAY}, 6, 2) not between '01' and '12'
     or substr({_DAY}, 9, 2) not between '01' and '31' then 'unparseable' when {_DAY} < '{D.CUTOFF}' then 'ok' else 'post_cutoff' end"""
 _DOCS_WITH = "select *, {} as v from documents"
-_PATH_SQL = "case when doc_id % 3 > 0 then 'https://www.news.example:80/' || (2004 + doc_id % 22) || '/' || (doc_id % 14) || '/x/' end"
+_PATH_SQL = f"case when doc_id % 3 > 0 then 'https://www.news.example:80/' || (2004 + {_NUMBER} % 22) || '/' || ({_NUMBER} % 14) || '/x/' end"
 
 
 def _whole_sql(y: str, m: str, d: str) -> str:
@@ -210,7 +247,9 @@ def _canonical(v: str) -> str:
         when {short(1)} <> '' then 'cc-' || replace({short(1)}, ' ', '-') || case when {short(2)} <> '' then '-' || {short(2)} else '' end end"""
 
 
-_POSTED = planted_sql(DATES[:1] + DATES[11:18] + ("2010-01-01", "2011-04-08", "2018-05-01"))
+_POSTED = f"""case when doc_id % 7 = 0 then {planted_sql(DATES[:1] + DATES[11:18] + ("2010-01-01", "2011-04-08", "2018-05-01"), "doc_id // 7")} else strftime({_DAY_SQL}, '%Y-%m-%d') end"""
+_EDITED = f"""case when doc_id % 5 = 0 then {planted_sql(EDITS, "doc_id // 11")} else strftime({_DAY_SQL} + cast(n_chars % 900 as integer), '%Y-%m-%dT10:00:00Z') end"""
+_OWN_LICENCE = f"nullif(regexp_replace(regexp_extract(coalesce(text, ''), '{L.SAID}', 1), '{L.TITLE_WORDS}', '', 'g'), '')"
 _MARKS = "'" + "|".join(C.TEMPLATES).replace("'", "''") + "'"
 _CONTROL = "'" + C.CONTROL_PATTERN + "'"
 _TEXT = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '\[([^\]\n]+)\]\((?:[^()\s]+)(?:\s+"[^"]*")?\)', '\1', 'g'),
@@ -229,24 +268,24 @@ _MESSAGES = f"""select doc_id // 40 as tree, doc_id as id, doc_id % 40 as place,
         when doc_id % 2 = 0 and (doc_id % 29) / 28.0 >= 0.5 then 'spam' when doc_id % 13 = 1 then 'lang_mismatch' when coalesce(trim(text), '') = '' then 'empty'
         when regexp_matches(replace(lower(text), '’', ''''), '{_PHRASES}') then 'aiism' end as problem from documents"""
 ORACLES = {
-    "iso_dates": f"select doc_id, {_ISO} as status from ({_DOCS_WITH.format(planted_sql(DATES))})",
+    "iso_dates": f"select doc_id, {_ISO} as status from ({_DOCS_WITH.format(written_sql())})",
     "written_dates": f"""
         with c as (select doc_id, v, lower(trim(v)) as s, u, not regexp_matches(coalesce(v, ''), '[0-9]') as missing
-                   from (select doc_id, {planted_sql(DATES)} as v, {_PATH_SQL} as u from documents)),
+                   from (select doc_id, {written_sql()} as v, {_PATH_SQL} as u from documents)),
         p as (select doc_id, missing, case when not missing then {_PARSED} end as own, {_IN_URL} as path from c), a as (select *, coalesce(own, path) as date from p)
         select doc_id, case when date is not null then {_GATE.format("date")} when missing then 'undated' else 'unparseable' end as status, date,
                case when own is not null then 'field' when path is not null then 'url' end as basis from a""",
     "url_dates": f"""
         with c as (select doc_id, {_PATH_SQL} as u from documents), p as (select doc_id, u, {_IN_URL} as date from c)
         select doc_id, case when u is null then '' else 'news.example' end as host, date, case when u is not null then {_GATE.format("coalesce(date, '2022')")} end as gate from p""",
-    "licence_names": f"select {_canonical('v')} as licence, count(*) as docs from ({_DOCS_WITH.format(planted_sql(LICENCES))}) group by 1",
+    "licence_names": f"select {_canonical('v')} as licence, count(*) as docs from ({_DOCS_WITH.format(f'coalesce({_OWN_LICENCE}, {planted_sql(LICENCES)})')}) group by 1",
     "thread_licences": f"""
         with c as (select doc_id, {planted_sql(LICENCES[:5])} as w, case when doc_id % 5 > 0 then [{planted_sql(LICENCES)}, {planted_sql(LICENCES, "doc_id // 7")}] else [] end as parts from documents),
         e as (select doc_id, unnest(parts) as v from c),
         b as (select doc_id, bool_or(v is not null and v <> 'None' and ({_canonical("v")}) is null) as bad, bool_or(v is null or v = 'None') as blank from e group by 1)
         select doc_id, case when ({_canonical("w")}) is null or bad then 'license' when blank then 'license_component_missing' end as reason from c left join b using (doc_id)""",
     "post_gates": f"""
-        with c as (select doc_id, {_POSTED} as created, {planted_sql(EDITS, "doc_id // 11")} as edited, {planted_sql(LICENCES, "doc_id // 3")} as raw from documents),
+        with c as (select doc_id, {_POSTED} as created, {_EDITED} as edited, {planted_sql(LICENCES, "doc_id // 3")} as raw from documents),
         s as (select *, (select {_ISO} from (select created as v)) as own, (select {_ISO} from (select edited as v)) as edit from c)
         select doc_id, case when own = 'post_cutoff' then 'date_gate' when own <> 'ok' then 'date_missing' when edit not in ('ok', 'undated') then 'edit_gate' end as reason,
                case when length(created) >= 10 then case when coalesce(raw, '') <> '' then {_canonical("raw")}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions import grams as G
 from tamis.functions import text as T
-from tamis.operators import checks, minhash, packing
+from tamis.operators import checks, minhash, packing, planted
+from tamis.session import Scratch
 
 RULES = (("caps", ""), ("lowercase", ""), ("first_word", "the"), ("word", "and"), ("question_end", ""), ("brackets", ""))
 ROLES, END = {"system": 1, "user": 2, "assistant": 3}, 4
@@ -75,6 +76,41 @@ def packed_rows(spark, d):
     return packing.packed(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "n_chars", 8192, 16)
 
 
+def _planned(spark, d) -> DataFrame:
+    """Turns by place, their texts with planted values: a token of the conversation is given in the first turn and corrected in the second, the last turn but
+    one asks for it and for the number of things in a box, the last one answers. One conversation in six says each thing wrong."""
+    turns = _turns(spark, d).select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    whole = Window.partitionBy("conv_id")
+    placed = turns.withColumn("at", F.row_number().over(whole.orderBy("turn")) - 1).withColumn("n", F.count("*").over(whole)).where("n >= 4")
+    kind, at, last = F.col("conv_id") % 6, F.col("at"), F.col("n") - 1
+    old, new = (F.concat(F.lit(w), F.col("conv_id") % 5) for w in ("Korveth ", "Zuldane "))
+    old, new = (F.translate(v, "01234", "abcde") for v in (old, new))
+    right = F.element_at(F.array(*map(F.lit, planted.NUMBERS)), (2 - (F.col("conv_id") % 2) + 1).cast("int"))
+    said = (
+        F.when(at == 0, F.concat(F.lit(" my token is "), old, F.lit(". In the box are a stone and a feather."), F.when(kind == 1, F.concat(F.lit(" Or "), new)).otherwise("")))
+        .when(at == 1, F.concat(F.lit(" no, it is "), new, F.lit(".")))
+        .when(at == last - 1, F.when(kind == 3, F.concat(F.lit(" is it "), new, F.lit("?"))).otherwise(" what is it?"))
+        .when(at == last, F.concat(F.lit(" it is "), F.when(kind == 4, old).when(kind == 5, F.concat(new, F.lit(", not "), old)).otherwise(new), F.lit(", and I count "), F.when(kind == 2, "nine").otherwise(right)))
+        .otherwise(F.when(kind == 2, F.concat(F.lit(" still "), F.upper(new))).otherwise(""))
+    )
+    return placed.select("conv_id", F.col("at").alias("turn"), "n", F.concat(F.translate("text", "01234", "     "), F.lit(". ."), said).alias("text"), old.alias("old"), new.alias("new"))
+
+
+def planned_events(spark, d):
+    """Turns that go against the plan of their conversation, by code, and what the list held."""
+    turns = Scratch(spark, "planned").keep(_planned(spark, d), "turns")
+    one = turns.where("turn = 0")
+    schedule = one.select("conv_id", F.explode(F.array(F.struct(F.col("old").alias("value"), F.lit(0).alias("turn")), F.struct(F.col("new").alias("value"), F.lit(1).alias("turn")))).alias("s")).select("conv_id", "s.*")
+    events = one.select("conv_id", F.lit("slot").alias("event"), F.col("new").alias("answer"), F.lit(1).alias("last_set"), (F.col("n") - 2).alias("query"), (F.col("n") - 1).alias("answered"), F.array("old").alias("stale"))
+    # the feather is taken out again in odd conversations
+    change = lambda item, turn, op: F.struct(F.lit(item).alias("item"), F.lit(turn).alias("turn"), F.lit(op).alias("op"))
+    made = F.concat(F.array(change("stone", 0, "add"), change("feather", 0, "add")), F.when(F.col("conv_id") % 2 == 1, F.array(change("feather", 1, "remove"))).otherwise(F.array().cast("array<struct<item:string,turn:int,op:string>>")))
+    changes = one.select("conv_id", F.lit("box").alias("event"), F.explode(made).alias("c")).select("conv_id", "event", "c.*")
+    asked = one.select("conv_id", F.lit("box").alias("event"), (F.col("n") - 2).alias("query"), (F.col("n") - 1).alias("answered"))
+    slots = planted.event_codes(turns, schedule, events).select("conv_id", "event", "turn", F.lit(None).cast("int").alias("held"), "code")
+    return slots.unionByName(planted.list_codes(turns, changes, asked))
+
+
 def near_conversations(spark, d):
     """Near-duplicate conversations: groups by five-word shingles of all their turns, of which the first stays."""
     part = F.concat_ws(" ", F.concat(F.lit("role"), F.left("role", F.lit(1))), F.coalesce("text", F.lit("")))
@@ -131,6 +167,24 @@ ORACLES = {
         p as (select conv_id, turn, len(ids) + 2 as n, case when role = 'assistant' then len(ids) + 1 else 0 end as k,
                      array_to_string(list_concat([case role when 'system' then '1' when 'user' then '2' else '3' end], ids, [case when role = 'assistant' then '4+' else '4' end]), ' ') as s from t)
         select conv_id, cast(sum(n) as integer) as tokens, cast(sum(k) as integer) as targets, sha256(string_agg(s, ' ' order by turn)) as sha256 from p group by conv_id""",
+    "planned_events": rf"""
+        with t as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 as turn, count(*) over (partition by conv_id) as n, coalesce(text, '') as text from conversations),
+        v as (select *, conv_id % 6 as kind, 'Korveth ' || substr('abcde', cast(conv_id % 5 + 1 as integer), 1) as old, 'Zuldane ' || substr('abcde', cast(conv_id % 5 + 1 as integer), 1) as new from t where n >= 4),
+        s as (select *, translate(text, '01234', '     ') || '. .' || case
+                when turn = 0 then ' my token is ' || old || '. In the box are a stone and a feather.' || case when kind = 1 then ' Or ' || new else '' end
+                when turn = 1 then ' no, it is ' || new || '.' when turn = n - 2 then case when kind = 3 then ' is it ' || new || '?' else ' what is it?' end
+                when turn = n - 1 then ' it is ' || case kind when 4 then old when 5 then new || ', not ' || old else new end || ', and I count ' || case when kind = 2 then 'nine' when conv_id % 2 = 0 then 'two' else 'one' end
+                when kind = 2 then ' still ' || upper(new) else '' end as said from v),
+        w as (select *, ' ' || array_to_string({_W.replace("text", "said")}, ' ') || ' ' as line, {_W.replace("text", "said")} as words from s),
+        h as (select *, contains(line, ' ' || lower(old) || ' ') as has_old, contains(line, ' ' || lower(new) || ' ') as has_new,
+                     list_filter(list_distinct(words), lambda x: x in ('zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten')) as counts from w)
+        select conv_id, null as event, turn, null::integer as held, 'VALUE_EARLY' as code from h where turn = 0 and has_new
+        union all select conv_id, 'slot', turn, null, 'DIST_LEAK' from h where turn > 1 and turn < n - 2 and has_new
+        union all select conv_id, 'slot', turn, null, 'QUERY_RESTATES' from h where turn = n - 2 and has_new
+        union all select conv_id, 'slot', turn, null, 'ANSWER_WRONG' from h where turn = n - 1 and not has_new
+        union all select conv_id, 'slot', turn, null, 'ANSWER_STALE' from h where turn = n - 1 and has_old
+        union all select conv_id, 'box', turn, cast(2 - conv_id % 2 as integer), 'LIST_STATE' from h
+            where turn = n - 1 and counts <> [case when conv_id % 2 = 0 then 'two' else 'one' end]""",
     "length_batches": """
         with b as (select case when n_chars <= 512 then 512 when n_chars <= 1024 then 1024 when n_chars <= 2048 then 2048 when n_chars <= 4096 then 4096 end as bucket from documents)
         select cast(bucket as integer) as bucket, count(*) as docs, cast(ceil(count(*) / (16384 // bucket)) as bigint) as batches from b where bucket is not null group by bucket""",
