@@ -39,10 +39,10 @@ def without_bars(text: Column) -> Column:
 
 
 def comment_text(text: Column) -> Column:
-    """Links become their words; marks of bold, italic and code go."""
+    """Links become their words; marks of bold, italic and code go; white space becomes one blank."""
     plain = F.regexp_replace(text, r"\[([^\]\n]+)\]\((?:[^()\s]+)(?:\s+\"[^\"]*\")?\)", "$1")
     plain = F.regexp_replace(F.regexp_replace(plain, r"\*\*([^*\n]+)\*\*", "$1"), r"\*([^*\n]+)\*", "$1")
-    return F.trim(F.regexp_replace(plain, "`([^`\n]+)`", "$1"))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, "`([^`\n]+)`", "$1"), r"\s+", " "))
 
 
 def is_template(text: Column) -> Column:

@@ -81,10 +81,12 @@ def frequent_group_lines(docs: DataFrame, group: Column, least: int) -> DataFram
 
 
 def without_lines(docs: DataFrame, bad: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, text) of every document without the lines of `bad`; blank lines stay. Null texts stay null; keys are unique."""
-    each = docs.select(F.col(key).alias("key"), F.posexplode_outer(F.split(F.col(text), "\n")).alias("at", "line"))
+    """(key, text) of every document without the lines of `bad`; blank lines stay. Null texts stay null; rows that share a key stay rows of
+    their own, as do repeated ones."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    each = numbered.select("row", "key", F.posexplode_outer(F.split("text", "\n")).alias("at", "line"))
     each = each.withColumn("line_hash", F.sha2(F.trim("line").cast("binary"), 256))
     left = each.join(bad.select("line_hash", F.lit(True).alias("bad")), "line_hash", "left")
     ordered = F.array_sort(F.collect_list(F.when(F.col("bad").isNull() & F.col("line").isNotNull(), F.struct("at", "line"))))
-    whole = left.groupBy("key").agg(F.max(F.col("line").isNotNull()).alias("any"), ordered.alias("lines"))
+    whole = left.groupBy("row", "key").agg(F.max(F.col("line").isNotNull()).alias("any"), ordered.alias("lines"))
     return whole.select(F.col("key").alias(key), F.when(F.col("any"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias(text))

@@ -26,28 +26,54 @@ def templated(turns: Column, roles: dict[str, int], end: int) -> Column:
 
 
 def bucketed(rows: DataFrame, key: str, size: str, buckets: list[int], tokens: int) -> DataFrame:
-    """(key, bucket, batch): the smallest bucket that holds the row, and batches of tokens // bucket rows in each; longer rows are left out."""
+    """(key, bucket, batch): the smallest bucket that holds the row, and batches of tokens // bucket rows in each. Longer rows, and those without a size, have
+    neither."""
     bucket = F.coalesce(*(F.when(F.col(size) <= b, F.lit(b)) for b in sorted(buckets)))
-    at = placed(rows.select(key, bucket.alias("bucket")).where("bucket is not null"), "bucket", [F.col(key)])
-    return at.select(key, "bucket", F.floor((F.col("place") - 1) / F.greatest(F.lit(1), F.floor(F.lit(tokens) / F.col("bucket")))).alias("batch"))
-
-
-def packed(rows: DataFrame, key: str, size: str, length: int, windows: int) -> DataFrame:
-    """(key, window, bin, offset): rows of at most `length` tokens packed into bins of that length, the longest first, each into the first
-    bin with room. Windows are drawn by a hash of the key; choose so many that one holds some thousand rows. Longer rows are left out."""
-    held = rows.where(F.col(size).between(1, length)).select(F.col(key).alias("key"), F.col(size).cast("int").alias("n"), F.pmod(F.xxhash64(key), F.lit(windows)).cast("int").alias("window"))
+    all_ = rows.select(key, bucket.alias("bucket"))
+    at = placed(all_.where("bucket is not null"), "bucket", [F.col(key)])
+    batch = F.floor((F.col("place") - 1) / F.greatest(F.lit(1), F.floor(F.lit(tokens) / F.col("bucket"))))
+    return at.select(key, "bucket", batch.alias("batch")).unionByName(all_.where("bucket is null").select(key, "bucket", F.lit(None).cast("long").alias("batch")))
+
+
+#: Rows that are packed together, about.
+WINDOW = 4096
+
+
+def first_fits(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of each row in turn: the first bin with room. A tree of the rooms' maxima finds it in steps that grow with the logarithm of the bins."""
+    width = 1 << max(0, (len(sizes) - 1).bit_length())
+    room = [length] * (2 * width)
+    bins, offsets = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    for row, n in enumerate(sizes.tolist()):
+        at = 1
+        while at < width:
+            at = 2 * at if room[2 * at] >= n else 2 * at + 1
+        bins[row], offsets[row] = at - width, length - room[at]
+        room[at] -= n
+        while at > 1:
+            at >>= 1
+            room[at] = max(room[2 * at], room[2 * at + 1])
+    return bins, offsets
+
+
+def packed(rows: DataFrame, key: str, size: str, length: int, windows: int | None = None) -> DataFrame:
+    """(key, window, bin, offset, reason): rows of 1 to `length` tokens packed into bins of that length, the longest first, each into the first
+    bin with room. Windows are drawn by a hash of the key, so many that one holds about WINDOW rows unless they are given. Rows that can't be packed have neither
+    bin nor offset, and a reason: too_long, or empty (null sizes too)."""
+    windows = windows or 1 + rows.count() // WINDOW
+    n = F.col(size).cast("long")
+    reason = F.when(n > length, "too_long").when(F.coalesce(n, F.lit(0)) < 1, "empty")
+    every = rows.select(F.col(key).alias("key"), n.alias("n"), F.pmod(F.xxhash64(key), F.lit(windows)).cast("int").alias("window"), reason.alias("reason"))
+    kind = rows.schema[key].dataType.simpleString()
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n", "key"], ascending=[False, True], kind="stable")
-        room, bins, offsets = np.full(len(frame), length), [], []
-        for n in frame["n"]:
-            at = int(np.argmax(room >= n))
-            bins.append(at)
-            offsets.append(length - int(room[at]))
-            room[at] -= n
+        bins, offsets = first_fits(frame["n"].to_numpy(), length)
         return pd.DataFrame({"key": frame["key"], "window": frame["window"], "bin": bins, "offset": offsets})
 
-    return held.groupBy("window").applyInPandas(pack, "key long, window int, bin int, offset int").withColumnRenamed("key", key)
+    held = every.where("reason is null").select("key", "n", "window").groupBy("window").applyInPandas(pack, f"key {kind}, window int, bin int, offset int")
+    none = every.where("reason is not null").select("key", "window", F.lit(None).cast("int").alias("bin"), F.lit(None).cast("int").alias("offset"), "reason")
+    return held.withColumn("reason", F.lit(None).cast("string")).unionByName(none).withColumnRenamed("key", key)
 
 
 def documents_of(tokens: DataFrame, end: int) -> DataFrame:

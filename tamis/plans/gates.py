@@ -252,8 +252,8 @@ _EDITED = f"""case when doc_id % 5 = 0 then {planted_sql(EDITS, "doc_id // 11")}
 _OWN_LICENCE = f"nullif(regexp_replace(regexp_extract(coalesce(text, ''), '{L.SAID}', 1), '{L.TITLE_WORDS}', '', 'g'), '')"
 _MARKS = "'" + "|".join(C.TEMPLATES).replace("'", "''") + "'"
 _CONTROL = "'" + C.CONTROL_PATTERN + "'"
-_TEXT = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '\[([^\]\n]+)\]\((?:[^()\s]+)(?:\s+"[^"]*")?\)', '\1', 'g'),
-    '\*\*([^*\n]+)\*\*', '\1', 'g'), '\*([^*\n]+)\*', '\1', 'g'), '`([^`\n]+)`', '\1', 'g'))"""
+_TEXT = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '\[([^\]\n]+)\]\((?:[^()\s]+)(?:\s+"[^"]*")?\)', '\1', 'g'),
+    '\*\*([^*\n]+)\*\*', '\1', 'g'), '\*([^*\n]+)\*', '\1', 'g'), '`([^`\n]+)`', '\1', 'g'), '\s+', ' ', 'g'))"""
 _PHRASES = "|".join(G.MODEL_PHRASES).replace("'", "''")
 _LATE = f"regexp_matches(replace(lower(coalesce(text, '')), '’', ''''), '{_PHRASES}') or regexp_matches(coalesce(text, ''), '{G.LATE_YEAR}')"
 _STOP = "'" + "', '".join(w.replace("'", "''") for w in T.STOPWORDS.split()) + "'"

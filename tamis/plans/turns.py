@@ -65,15 +65,22 @@ def chat_template(spark, d):
 
 
 def length_batches(spark, d):
-    """Documents by bucket of characters: rows, and batches of 16,384 characters."""
+    """Documents by bucket of characters: rows, and batches of 16,384 characters; longer ones are in none."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     at = packing.bucketed(docs, "doc_id", "n_chars", [512, 1024, 2048, 4096], 16_384)
     return at.groupBy("bucket").agg(F.count("*").alias("docs"), F.countDistinct("batch").alias("batches"))
 
 
 def packed_rows(spark, d):
-    """Documents packed into rows of 8,192 characters; rows only, as the bins depend on the windows' hash."""
-    return packing.packed(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "n_chars", 8192, 16)
+    """Documents packed into rows of 8,192 characters: by bin how many, the characters they fill, and that none lies on another; by reason those that fit none.
+
+    Bins depend on a hash, so what SQL can say is counted: rows, characters, and that no bin is overfull.
+    """
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = packing.packed(docs, "doc_id", "n_chars", 8192).join(docs.select("doc_id", "n_chars"), "doc_id")
+    bins = rows.groupBy("window", "bin", "reason").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), F.max(F.col("offset") + F.col("n_chars")).alias("top"))
+    sound = F.col("reason").isNotNull() | ((F.col("chars") <= 8192) & (F.col("top") == F.col("chars")))
+    return bins.groupBy("reason").agg(F.sum("docs").alias("docs"), F.sum("chars").alias("chars"), F.every(sound).alias("sound"))
 
 
 def _planned(spark, d) -> DataFrame:
@@ -187,6 +194,9 @@ ORACLES = {
             where turn = n - 1 and counts <> [case when conv_id % 2 = 0 then 'two' else 'one' end]""",
     "length_batches": """
         with b as (select case when n_chars <= 512 then 512 when n_chars <= 1024 then 1024 when n_chars <= 2048 then 2048 when n_chars <= 4096 then 4096 end as bucket from documents)
-        select cast(bucket as integer) as bucket, count(*) as docs, cast(ceil(count(*) / (16384 // bucket)) as bigint) as batches from b where bucket is not null group by bucket""",
+        select cast(bucket as integer) as bucket, count(*) as docs, coalesce(cast(ceil(count(*) / (16384 // bucket)) as bigint), 0) as batches from b group by bucket""",
+    "packed_rows": """
+        select case when n_chars > 8192 then 'too_long' when coalesce(n_chars, 0) < 1 then 'empty' end as reason, count(*) as docs, cast(sum(n_chars) as bigint) as chars, true as sound
+        from documents group by 1""",
 }
-QUERIES = {name: globals()[name] for name in (*ORACLES, "packed_rows", "near_conversations")}
+QUERIES = {name: globals()[name] for name in (*ORACLES, "near_conversations")}

@@ -43,6 +43,7 @@ def test_clean_up(spark):
     assert column(spark, ["é\r\na \t\r\n\n\n\n\nb\x00  ", "é", None, " x "], C.normalized) == ["é\na\n\nb", "é", None, "x"]
     assert column(spark, ["a\n| |\n|\nb | c", "||"], C.without_bars) == ["a\nb | c", ""]
     assert column(spark, ["see [here](http://x.org) **b** *i* `c`"], C.comment_text) == ["see here b i c"]
+    assert column(spark, [" a \n\t b  `c` "], C.comment_text) == ["a b c"]
     assert column(spark, ["<|user|>x<think>", "plain", None], C.control_strings) == [2, 0, 0]
     text = "front\n\n" + "m" * 50 + "\n\nmiddle\n\n" + "n" * 50 + "\n\nback"
     assert column(spark, [text, "short", None, "é" * 40], lambda v: C.middle(v, 60)) == ["middle", "short", None, "é" * 30]
@@ -106,8 +107,9 @@ def test_plans(spark):
 
 def test_packing(spark):
     rows = spark.createDataFrame([(i, n) for i, n in enumerate([7, 3, 5, 5, 2, 8, 11, 0])], "id long, n int")
-    got = packing.packed(rows, "id", "n", 10, 1).collect()
-    held = {}
+    every = packing.packed(rows, "id", "n", 10, 1).collect()
+    assert {r["id"]: r["reason"] for r in every if r["reason"]} == {6: "too_long", 7: "empty"} and len(every) == 8
+    got, held = [r for r in every if not r["reason"]], {}
     for r in got:
         held.setdefault(r["bin"], []).append((r["offset"], [7, 3, 5, 5, 2, 8][r["id"]]))
     assert sorted(r["id"] for r in got) == [0, 1, 2, 3, 4, 5] and len(held) == 3
@@ -120,6 +122,27 @@ def test_packing(spark):
     assert order.count(1) == 2 * order.count(0) and packing.loader_order([1.0], [[1]], 3) == [0]
 
 
+def test_first_fits_are_those_of_a_scan():
+    import numpy as np
+
+    sizes, room, want = np.sort(np.random.default_rng(2).integers(1, 50, 400))[::-1], [], []
+    for n in sizes:
+        at = next((i for i, r in enumerate(room) if r >= n), len(room))
+        room += [64] * (at == len(room))
+        want.append((at, 64 - room[at]))
+        room[at] -= n
+    bins, offsets = packing.first_fits(sizes, 64)
+    assert list(zip(bins.tolist(), offsets.tolist())) == want
+    assert packing.first_fits(np.array([5]), 10)[0].tolist() == [0] and not len(packing.first_fits(np.array([], int), 10)[0])
+
+
+def test_rows_that_share_a_key_keep_their_lines(spark):
+    rows = [(1, "a\nbad\nb"), (1, "c\nbad"), (1, "c\nbad"), (None, "bad\nx"), (2, None), (3, "")]
+    bad = spark.createDataFrame([("bad",)], "l string").select(F.sha2(F.col("l").cast("binary"), 256).alias("line_hash"))
+    got = dedup.without_lines(spark.createDataFrame(rows, "doc_id long, text string"), bad).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, "a\nb"), (1, "c"), (1, "c"), (None, "x"), (2, None), (3, "")]))
+
+
 def test_templates_learn_assistants_only(spark):
     rows = spark.createDataFrame([([("user", [11, 12]), ("assistant", [13])],)], "t array<struct<role:string,ids:array<int>>>")
     got = rows.select(packing.templated(F.col("t"), {"user": 2, "assistant": 3}, 4).alias("x")).head().x
