@@ -2,10 +2,11 @@
 
 A tokenization is the encoder's own if and only if every two neighbouring tokens stay as they are when their bytes are
 encoded alone, so the encoding of a prefix extends by exactly one token that ends at the new byte and suits the token
-before it. A state holds, for each place from which some token may still reach past the present byte, the trie node
-reached from there and the last token before it. A move says which places stay open and which of them the new token
-follows; each open place has a register with its tokens that are not yet out, and what all registers share is emitted.
-Tokens have a longest length, hence the lookahead is bounded. States and moves are made when first met, in bounded tables.
+before it. A state is the set of trie nodes that are open: one for each place from which some token may still reach past the present
+byte. A move gives the next state and the tokens that end with its byte, the longest first; the first of them that suits the
+last token at the place where it begins is the prefix's last token. Going back from the end along those tokens gives the encoding. Tokens
+have a longest length, so what the prefixes that may still be extended share is certain, and is emitted after a bounded lookahead. States,
+moves and pairs that suit are made when first met, in bounded tables.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -29,12 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: States and token pairs beyond which a worker starts those tables anew, and cached strings beyond which it lets the older half go.
-MOST_STATES, MOST_PAIRS, MOST_CACHED = 100_000, 200_000, 250_000
+MOST_STATES, MOST_PAIRS, MOST_CACHED = 100_000, 500_000, 1_000_000
 #: Rows whose texts are Python strings at a time.
 ROWS = 256
 #: Pieces that are encoded at a time, so that a very long text is never held as one list of ids.
 BLOCK = 1 << 16
 NONE, NEVER = -1, 1 << 62
+#: Bytes of a piece after which what is certain is emitted.
+LOOK = 1 << 12
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,17 +63,19 @@ class Transducer:
                     nodes += 1
                 node = below
             self.token_at[node] = rank
+        self.size = {rank: len(token) for token, rank in ranks.items()}
+        self.longest = max(self.size.values(), default=1)
         self.parts: dict[int, tuple[int, int]] = {}
-        self.suits: dict[tuple[int, int], bool] = {}
+        self.suits: dict[int, bool] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.states: list[tuple[tuple[int, int], ...]] = []
-        self.number: dict[tuple[tuple[int, int], ...], int] = {}
+        self.states: list[tuple[int, ...]] = []
+        self.number: dict[tuple[int, ...], int] = {}
         self.moves = _Made(self._determinise)
-        self._state(((0, NONE),))
+        self._state((0,))
 
-    def _state(self, places: tuple[tuple[int, int], ...]) -> int:
+    def _state(self, places: tuple[int, ...]) -> int:
         at = self.number.get(places)
         if at is None:
             at = self.number[places] = len(self.states)
@@ -98,21 +103,15 @@ class Transducer:
         return len(self.bytes_of[token]) == 1 or self._halves(token) != (NONE, NONE)
 
     def _suits(self, left: int, right: int) -> bool:
-        """Whether the boundary of two tokens outlives the encoding of their joined bytes.
-
-        Runs the encoder's merges backwards: the merge of the higher rank is undone first (of equals the right one, which
-        was done last), and at each step no pair over the boundary may be due before the merge undone last.
-        """
-        if left == NONE:
-            return self._made(right)
-        found = self.suits.get((left, right))
-        if found is None:
-            if len(self.suits) >= MOST_PAIRS:
-                self.suits.clear()
-            found = self.suits[left, right] = self._made(right) and self._outlives(left, right)
+        """Whether the boundary of two tokens outlives the encoding of their joined bytes; before the first token only whether that is ever made."""
+        if len(self.suits) >= MOST_PAIRS:
+            self.suits.clear()
+        found = self.suits[(left << 32) + right] = self._made(right) and (left == NONE or self._outlives(left, right))
         return found
 
     def _outlives(self, left: int, right: int) -> bool:
+        """Runs the encoder's merges backwards: the merge of the higher rank is undone first (of equals the right one, which
+        was done last), and at each step no pair over the boundary may be due before the merge undone last."""
         of = self.bytes_of
         undone, by_right = NEVER, False
         while True:
@@ -131,21 +130,38 @@ class Transducer:
             else:
                 left = self._halves(left)[1]
 
-    def _determinise(self, at: int) -> tuple[int, tuple[int, ...], int, int]:
+    def _determinise(self, at: int) -> tuple[int, tuple[tuple[int, int], ...]]:
+        """Next state of a move, and the (token, size) that end with it, those that begin first before the others."""
         state, b = at >> 8, at & 255
-        kept, places, follows, new = [], [], NONE, NONE
-        for i, (node, last) in enumerate(self.states[state]):  # the earliest place first, so the longest token
+        kept, ends = [], []
+        for node in self.states[state]:
             below = self.child.get((node, b))
             if below is None:
                 continue
-            if new == NONE:
-                token = self.token_at.get(below, NONE)
-                if token != NONE and self._suits(last, token):
-                    follows, new = i, token
+            token = self.token_at.get(below, NONE)
+            if token != NONE:
+                ends.append((token, self.size[token]))
             if below in self.inner:
-                kept.append(i)
-                places.append((below, last))
-        return self._state((*places, (0, new))), tuple(kept), follows, new
+                kept.append(below)
+        return self._state((*kept, 0)), tuple(ends)
+
+    def _back(self, last: list[int], at: int) -> list[int]:
+        """Tokens of the prefix that ends at a place, from where the list begins."""
+        out = []
+        while at > 0:
+            out.append(last[at])
+            at -= self.size[last[at]]
+        out.reverse()
+        return out
+
+    def _certain(self, last: list[int]) -> int:
+        """The place that the encodings of all prefixes that may still be extended have in common: the one where their ways back meet."""
+        ways = set(range(max(0, len(last) - self.longest), len(last)))
+        while len(ways) > 1:
+            at = max(ways)
+            ways.discard(at)
+            ways.add(at - self.size[last[at]])
+        return ways.pop()
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
@@ -153,20 +169,25 @@ class Transducer:
             return (whole,)
         if len(self.states) > MOST_STATES:
             self.forget()
-        out: list[int] = []
-        state, moves, registers = 0, self.moves, [()]
-        for at in range(0, len(piece), 64):
-            for b in piece[at : at + 64]:
-                state, kept, follows, token = moves[state << 8 | b]
-                now = registers[follows] + (token,)
-                registers = [*[registers[i] for i in kept], now] if kept else [now]
-            if len(piece) > 64:  # what all registers share is certain
-                certain = 0
-                while all(len(r) > certain and r[certain] == now[certain] for r in registers) and certain < len(now):
-                    certain += 1
-                out += now[:certain]
-                registers = [r[certain:] for r in registers]
-        return (*out, *registers[-1])
+        moves, known, state, last, out = self.moves, self.suits.get, 0, [NONE], []
+        for begin in range(0, len(piece), LOOK):
+            at = len(last)
+            for b in piece[begin : begin + LOOK]:
+                state, ends = moves[state << 8 | b]
+                for token, size in ends:
+                    left = last[at - size]
+                    fits = known((left << 32) + token)
+                    if fits is None:
+                        fits = self._suits(left, token)
+                    if fits:
+                        last.append(token)
+                        break
+                at += 1
+            if begin + LOOK < len(piece):
+                cut = self._certain(last)
+                out += self._back(last, cut)
+                del last[:cut]
+        return (*out, *self._back(last, len(last) - 1))
 
 
 class _Made(dict):
@@ -182,14 +203,14 @@ class _Made(dict):
 
 
 class _Ids(dict):
-    """Ids of short strings, made when first met. Of a bounded number, half are new and half are those of before; what is met again is new."""
+    """Ids of short strings as bytes, made when first met. Of a bounded number, half are new and half are those of before; what is met again is new."""
 
-    def __init__(self, make: Callable[[str], tuple[int, ...]]):
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
         self.make = make
-        self.before: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, bytes] = {}
 
-    def __missing__(self, part: str) -> tuple[int, ...]:
+    def __missing__(self, part: str) -> bytes:
         ids = self.before.pop(part, None)
         if ids is None:
             ids = self.make(part)
@@ -216,6 +237,12 @@ def narrow_pattern(pattern: str) -> re.Pattern | None:
     return None if r"\p" in spelt else re.compile(spelt)
 
 
+def _array(parts: Iterable[bytes]) -> array:
+    out = array("I")
+    out.frombytes(b"".join(parts))
+    return out
+
+
 class Codec:
     """Encoder and decoder of one vocabulary.
 
@@ -228,17 +255,17 @@ class Codec:
         self.fst = Transducer(read_ranks(path))
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.narrow = narrow_pattern(pattern) or self.pattern
-        self.pieces = _Ids(lambda piece: self.fst.encode_piece(piece.encode("utf-8", "surrogatepass")))
+        self.pieces = _Ids(lambda piece: array("I", self.fst.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes())
 
     def blocks(self, text: str) -> Iterator[array]:
         """Ids of a text, a bounded number of parts at a time."""
         cut, ids = (self.pattern if self.OTHER.search(text) else self.narrow), self.pieces
         if len(text) <= BLOCK:
-            yield array("I", chain.from_iterable(map(ids.__getitem__, cut.findall(text))))
+            yield _array(map(ids.__getitem__, cut.findall(text)))
             return
         found = (m[0] for m in cut.finditer(text))
         while block := list(islice(found, BLOCK)):
-            yield array("I", chain.from_iterable(map(ids.__getitem__, block)))
+            yield _array(map(ids.__getitem__, block))
 
     def encode(self, text: str) -> array:
         out = array("I")
