@@ -18,26 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from pairs of labelled ones outside the held-out third; a null key is not held out."""
     held_out = quality.held_out(F.col("doc_id"), 3, 1)
     scored = quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op2_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards by its key alone, and in the one that it would have with one shard more."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
 def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by voters whose reliabilities come from all texts, and labels outside the held-out quarter."""
     held_out = quality.held_out(F.col("doc_id"), 4, 2)
     scored = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: those of the three base kinds, and the spans of all rules."""
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
 def op5_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and the least key that it is linked to, step by step, by fingerprints two bits apart."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
@@ -60,33 +65,40 @@ def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_window_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows of the benchmark, and the items whose windows it holds."""
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), "contaminated")
 
 
 def op8_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every twentieth vector with all others."""
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def op9_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: those of the four base kinds, and what the labelers together accept besides."""
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, hashed, and the hash of what they decode to."""
     path, pattern = byte_bpe.default_vocabulary()
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern)
 
 
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two to four words of each language that occur 30 times or more."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
 def op12_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return page_density.main_texts(table(spark, sf_dir, "pages"))
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and put into fill-in-middle order, hashed, and the hash of what is restored from it."""
     return fim.digest(table(spark, sf_dir, "documents"))
 
 
