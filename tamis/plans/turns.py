@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tamis.functions import grams as G
 from tamis.functions import text as T
 from tamis.operators import checks, minhash, packing, planted
+from tamis.plans import measures
 from tamis.session import Scratch
 
 RULES = (("caps", ""), ("lowercase", ""), ("first_word", "the"), ("word", "and"), ("question_end", ""), ("brackets", ""))
@@ -199,4 +200,11 @@ ORACLES = {
         select case when n_chars > 8192 then 'too_long' when coalesce(n_chars, 0) < 1 then 'empty' end as reason, count(*) as docs, cast(sum(n_chars) as bigint) as chars, true as sound
         from documents group by 1""",
 }
-QUERIES = {name: globals()[name] for name in (*ORACLES, "near_conversations")}
+#: The same groups as those of documents, over conversations as texts.
+ORACLES["near_conversations"] = (
+    measures.ORACLES["minhash_groups"]
+    .replace("with recursive w as", """with recursive documents as (
+        select conv_id as doc_id, 'src0' as source, string_agg('role' || left(role, 1) || ' ' || coalesce(text, ''), ' ' order by turn) as text from conversations group by conv_id), w as""")
+    .replace("select id as doc_id, lead", "select id as conv_id, lead")
+)
+QUERIES = {name: globals()[name] for name in ORACLES}
