@@ -35,7 +35,10 @@ def non_ascii_letter_ratio(text: Column) -> Column:
 
 def stopword_ratio(text: Column) -> Column:
     """Share of words that are English stopwords; 0 without words. Words hold letters and apostrophes only, so a digit can stand for a stopword."""
-    stop = "(?<![^ ])(?:" + "|".join(STOPWORDS.split()) + ")(?![^ ])"
+    rests: dict[str, list[str]] = {}
+    for word in STOPWORDS.split():  # by first letter, so that most words are told apart by one character
+        rests.setdefault(word[0], []).append(word[1:])
+    stop = "(?:^| )(?:" + "|".join(f"{first}(?:{'|'.join(own)})" for first, own in sorted(rests.items())) + ")(?= |$)"
     hits = lambda line: F.length(F.regexp_replace(F.regexp_replace(line, stop, "1"), "[^1]+", ""))
     count = lambda line: F.length(F.regexp_replace(line, "[^ ]+", "")) + 1
     return _with(F.array_join(words(text), " "), lambda x: F.when(x != "", hits(x) / count(x)).otherwise(F.lit(0.0)))
