@@ -119,7 +119,9 @@ def first_documents(spark: SparkSession, folder: str, glob: str, files_a_batch:
     Batches store a document's hash and rank only. A better-ranked document that arrives late displaces the one before it,
     so the result doesn't depend on the order of arrival.
     """
-    docs = _arrivals(spark, folder, glob, files_a_batch)
+    # the glob names files, or folders of files; as a pattern of paths it finds both
+    path = f"{folder}/{{{glob}}}"
+    docs = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
     rank = F.regexp_extract("source", "[0-9]+", 0).try_cast("int").alias("rank")
     rows = docs.select(F.sha2(F.col("text").cast("binary"), 256).alias("h"), rank, "doc_id", "source")
     batches = spark.read.parquet(_run(rows, Scratch(spark, "first"), "append"))

@@ -92,3 +92,11 @@ def test_ranks_go_out_in_order_also_after_a_restart(spark, store, tmp_path):
     for g in range(3):
         batches = [r.batch for r in got.where(F.col("grp") == g).orderBy("rank").collect()]
         assert batches == sorted(batches) and len(set(batches)) > 1
+
+
+def test_first_documents_also_come_from_a_folder_of_files(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    want = rows_of(stream.first_documents(spark, SMALL, "documents.parquet"))
+    assert len(want) > 0
+    assert rows_of(stream.first_documents(spark, str(tmp_path), "documents.parquet", 1)) == want
