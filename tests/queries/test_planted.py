@@ -66,3 +66,12 @@ def test_logs_are_relabelled_as_the_rules_say(spark):
     for words in (None, common):
         got = [(r.id, r.log) for r in books.relabelled_logs(df, "id", "log", words).collect() if r.id is not None]
         assert dict(got) == {i: plain_log(x, ("help",) if words is not None else ()) for i, x in enumerate(logs)}
+
+
+def test_mentions_are_made_once_and_nothing_is_broadcast(spark, sf_dir):
+    from tamis.plans import turns
+
+    query = turns.planned_events(spark, sf_dir)
+    query.collect()
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "lambda" not in query._jdf.queryExecution().optimizedPlan().toString()
