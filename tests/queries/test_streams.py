@@ -100,3 +100,16 @@ def test_first_documents_also_come_from_a_folder_of_files(spark, tmp_path):
     want = rows_of(stream.first_documents(spark, SMALL, "documents.parquet"))
     assert len(want) > 0
     assert rows_of(stream.first_documents(spark, str(tmp_path), "documents.parquet", 1)) == want
+
+
+def test_streamed_state_calls_no_python_for_a_key(spark, tmp_path):
+    """Groups that are null or come again, and many groups: as many rows as went in, each once."""
+    import time
+
+    df = spark.range(200_000).select(F.when(F.col("id") >= 10, F.floor(F.col("id") / 10)).alias("grp"), (F.col("id") % 10).alias("rank"), F.col("id").alias("item"))
+    df.repartition(3, F.xxhash64("item")).write.parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    began = time.monotonic()
+    got = jobs.in_rank(rows, str(tmp_path / "run")).agg(F.count("*"), F.countDistinct("item"), F.count_if(F.col("grp").isNull())).head()
+    assert tuple(got) == (200_000, 200_000, 10)
+    assert time.monotonic() - began < 120  # a call for each group and batch takes longer
