@@ -45,7 +45,12 @@ def within_edits(rows: DataFrame, key: str, words: str, cap: int, group: str | N
     place that the difference of their lengths bounds. So lists meet by a hash of (group, length, segment, words), no pair is missed, and
     what meets is verified. Lists of `cap` words or fewer have empty segments and meet by length. Keys are unique; null keys, lists and
     groups meet nothing. Equal lists are pairs too: make lists distinct first where copies may be many.
+
+    At a cap of one lists meet by what is left without one word instead (_one_edit): half of a short list is a word or two, and what shares a frequent
+    one are far more pairs than those an edit apart.
     """
+    if cap == 1:
+        return _one_edit(rows, key, words, group)
     parts, n = cap + 1, F.size("w")
     plain = rows.select(F.col(key).alias("k"), F.col(words).alias("w"), (F.col(group) if group else F.lit(0)).alias("g")).where("k is not null and w is not null and g is not null")
     begin = lambda i, length: F.floor(i * length / parts).cast("int")
@@ -72,6 +77,35 @@ def within_edits(rows: DataFrame, key: str, words: str, cap: int, group: str | N
     return checked.where(F.col("edits") <= cap).select("a", "b", "edits")
 
 
+def _one_edit(rows: DataFrame, key: str, words: str, group: str | None) -> DataFrame:
+    """within_edits at a cap of 1. Lists that differ by a replaced word are equal but for one place, and so meet by a hash of length, place and the rest; of lists that differ
+    by a word more, the longer without it is the shorter; equal ones meet as they are. So all that meets is a pair, but for collisions, which the words show.
+    Hashes carry numbers of rows, not words, and only those that are met go on.
+    """
+    scratch = Scratch(rows.sparkSession, "edits")
+    plain = rows.select(F.col(key).alias("k"), F.col(words).alias("w"), (F.col(group) if group else F.lit(0)).alias("g")).where("k is not null and w is not null and g is not null")
+    plain = scratch.keep(plain.select(F.monotonically_increasing_id().alias("id"), "k", "w", "g"), "lists")  # written, so a list keeps its number
+    n = F.size("w")
+    rest = lambda w, i: F.concat(F.slice(w, F.lit(1), i), F.slice(w, i + 2, F.greatest(F.size(w) - i - 1, F.lit(0))))
+    meeting = lambda h, kind: F.struct(h.alias("h"), F.lit(kind).cast("byte").alias("kind"))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    lefts = plain.select("id", "g", "w", F.transform(places, lambda i: F.struct(i.alias("i"), rest(F.col("w"), i).alias("rest"))).alias("lefts"))
+    replaced = F.transform("lefts", lambda x: meeting(F.xxhash64("g", F.size("w"), x["i"], x["rest"]), 1))
+    shorter = F.transform(F.array_distinct(F.transform("lefts", lambda x: F.xxhash64("g", F.size("w") - 1, F.lit(-1), x["rest"]))), lambda h: meeting(h, 2))
+    whole = F.array(meeting(F.xxhash64("g", F.size("w"), F.lit(-1), "w"), 0))
+    hashes = lefts.select("id", F.explode(F.concat(whole, replaced, shorter)).alias("m")).select("id", "m.h", "m.kind")
+    hashes = scratch.keep(hashes, "hashes")
+    # a list without a word is met by whole lists only, a list but for a place by others of that place
+    a, b = hashes.where("kind < 2").alias("a"), hashes.alias("b")
+    meets = (F.col("a.h") == F.col("b.h")) & (((F.col("a.kind") == F.col("b.kind")) & (F.col("a.id") < F.col("b.id"))) | ((F.col("a.kind") == 0) & (F.col("b.kind") == 2)))
+    pairs = scratch.keep(a.join(b.hint("merge"), meets).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct(), "pairs")
+    scratch.drop("hashes")
+    side = lambda name: plain.select(F.col("id").alias(name), F.struct("k", "w", "g").alias(f"{name}_"))
+    both = pairs.join(side("x").hint("merge"), "x").join(side("y").hint("merge"), "y")
+    checked = both.where("x_.g = y_.g").withColumn("edits", edits(F.col("x_.w"), F.col("y_.w"), 1)).where(F.col("edits") <= 1)
+    return checked.select(F.least("x_.k", "y_.k").alias("a"), F.greatest("x_.k", "y_.k").alias("b"), "edits")
+
+
 def similar_sets(rows: DataFrame, key: str, items: str, bound: tuple[int, int], group: str | None = None) -> DataFrame:
     """(a, b): pairs of keys, a < b, of the same group whose sets have a Jaccard similarity of bound[0] / bound[1] or more.
 

@@ -40,10 +40,10 @@ def near_lines(spark, d):
     lines = _t(spark, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "[\n.]")).alias("line"))
     worded = lines.select("doc_id", F.array_join(T.words(F.col("line")), " ").alias("line")).where("line <> ''")
     once = worded.groupBy("line").agg(F.min("doc_id").alias("doc_id")).withColumn("w", F.split("line", " ")).where("size(w) between 3 and 12")
-    kept = Scratch(spark, "lines").keep(once, "lines")
-    pairs = similar.within_edits(kept, "line", "w", 1)
-    of = lambda c: kept.select(F.col("line").alias(c), F.col("doc_id").alias(f"doc_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "doc_a", "doc_b", F.col("edits").cast("long").alias("edits"))
+    kept = Scratch(spark, "lines").keep(once.select(F.struct("line", "doc_id").alias("key"), "w"), "lines")
+    # keys bring their documents, so no line is looked up again
+    pairs = similar.within_edits(kept, "key", "w", 1)
+    return pairs.select(F.col("a.line").alias("a"), F.col("b.line").alias("b"), F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), F.col("edits").cast("long").alias("edits"))
 
 
 def near_replies(spark, d):

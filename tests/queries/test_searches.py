@@ -167,3 +167,25 @@ def test_strata_keep_their_sizes_and_arms_share_units(spark):
     same = [(arm, 0, 0, st, u, float(u % 2)) for arm in "ab" for st in ("s", "t") for u in range(5)] + [("a", 0, 0, "s", 99, 1.0)]
     row = resampling.nested_difference(spark.createDataFrame(same, "arm string, train int, seed int, stratum string, unit int, score double"), "a", "b", 50, "x").head()
     assert tuple(row) == (10, 0.0, 0.0, 0.0)
+
+
+def test_lines_that_share_a_frequent_word_are_not_compared(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tamis.operators import similar
+
+    monkeypatch.setattr(similar, "edits", lambda a, b, cap: F.raise_error(F.lit("compared")).cast("int"))
+    rows = spark.createDataFrame([(i, ["the", f"a{i}", f"b{i}"]) for i in range(300)], "id long, w array<string>")
+    assert similar.within_edits(rows, "id", "w", 1).collect() == []
+
+
+def test_one_edit_in_all_its_forms(spark):
+    from tamis.operators import similar
+
+    words = [[], ["a"], ["b"], ["a", "b"], ["b", "a"], ["a", "a"], ["a", "a", "b"], ["a", "b"], ["x", "a", "b", "c"], ["a", "b", "c", "x"], None]
+    rows = spark.createDataFrame([(i, w, i % 2) for i, w in enumerate(words)], "id long, w array<string>, g int")
+    for group in (None, "g"):
+        alike = lambda i, j: group is None or i % 2 == j % 2
+        pairs = ((i, j) for i in range(10) for j in range(i + 1, 10) if alike(i, j))
+        want = [(i, j, similar.word_edits(words[i], words[j], 1)) for i, j in pairs if similar.word_edits(words[i], words[j], 1) <= 1]
+        assert sorted(map(tuple, similar.within_edits(rows, "id", "w", 1, group).collect())) == want
