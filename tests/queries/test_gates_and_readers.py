@@ -264,3 +264,16 @@ def test_scratch_tables_go_by_name(spark):
     scratch.drop("a")
     with pytest.raises(Exception, match="PATH_NOT_FOUND|exist"):
         spark.read.parquet(scratch.path("a")).count()
+
+
+def test_books_are_read_and_split_once(spark):
+    parts = spark.createDataFrame([(1, 0, "the cat and the dog are in the house"), (1, 1, "zzq xxv bbw ccr tty uuo ppl mmn"), (2, 0, "~~~~ the cat"), (3, 0, "")], "doc_id long, at int, p string")
+    known = spark.createDataFrame([(w,) for w in "the cat and dog are in house".split()], "word string")
+    found = books.book_reasons(parts, known)
+    assert sorted(map(tuple, found.collect())) == [(1, 52, 28, None), (2, 6, 0, "ocr_mostly_junk"), (3, 0, 0, "ocr_low_words")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2
+    docs = spark.createDataFrame([("version 1\nx\ny\nend",), (None,), ("",)], "text string")
+    places = docs.select(books.matter_places(F.col("text"), lambda p: p.rlike("version|end"), "\n").alias("places"))
+    assert [r.places for r in places.collect()] == [[0, 3], None, []]
+    assert places._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
