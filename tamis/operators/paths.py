@@ -14,6 +14,7 @@ from tamis.session import Scratch
 def best_path(messages: DataFrame, order: list[str]) -> DataFrame:
     """(tree, step, id, role) of the path that takes, from each root, the first reply by `order` (nulls last) as long as there is one."""
     scratch = Scratch(messages.sparkSession, "path")
+    messages = scratch.keep(messages.select(*dict.fromkeys(("tree", "id", "role", "parent", *order))), "messages")
     first = F.min(F.struct(*(x for c in order for x in (F.col(c).isNull().alias(f"{c}_null"), F.col(c))), "id", "role")).alias("f")
     best = messages.where("parent is not null").groupBy("parent").agg(first).select("parent", "f.id", "f.role")
     best = scratch.keep(best, "best")
@@ -30,6 +31,8 @@ def all_paths(messages: DataFrame) -> DataFrame:
     """(tree, id, role, users) of every message that its root reaches, with the user turns from there to it."""
     scratch = Scratch(messages.sparkSession, "path")
     mine = (F.col("role") == "user").cast("int")
+    # written once: what makes and filters the messages would else run again over all texts at each step
+    messages = scratch.keep(messages.select("tree", "id", "role", "parent"), "messages")
     now = scratch.keep(messages.where("parent is null").select("tree", "id", "role", mine.alias("users")), "step-0")
     steps = [now]
     while not now.isEmpty():

@@ -189,3 +189,20 @@ def test_one_edit_in_all_its_forms(spark):
         pairs = ((i, j) for i in range(10) for j in range(i + 1, 10) if alike(i, j))
         want = [(i, j, similar.word_edits(words[i], words[j], 1)) for i, j in pairs if similar.word_edits(words[i], words[j], 1) <= 1]
         assert sorted(map(tuple, similar.within_edits(rows, "id", "w", 1, group).collect())) == want
+
+
+def test_messages_are_made_once_for_all_steps(spark):
+    from pyspark.sql import functions as F
+
+    from tamis.operators import paths
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(role):
+        made.add(1)
+        return role
+
+    rows = [(1, i, None if i == 0 else i - 1, "user" if i % 2 == 0 else "assistant") for i in range(4)]
+    messages = spark.createDataFrame(rows, "tree long, id long, parent long, role string").withColumn("role", F.udf(seen, "string")("role"))
+    assert sorted((r.id, r.users) for r in paths.all_paths(messages).collect()) == [(0, 1), (1, 1), (2, 2), (3, 2)]
+    assert made.value == 4
