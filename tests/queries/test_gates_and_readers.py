@@ -277,3 +277,10 @@ def test_books_are_read_and_split_once(spark):
     places = docs.select(books.matter_places(F.col("text"), lambda p: p.rlike("version|end"), "\n").alias("places"))
     assert [r.places for r in places.collect()] == [[0, 3], None, []]
     assert places._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_pages_go_to_python_by_rows(spark):
+    from tamis.functions.html import html_text
+
+    assert html_text.evalType == 100
+    assert column(spark, ["<p>a</p><p>b", None], html_text) == ["a\nb", ""]
