@@ -100,14 +100,15 @@ def _hex(word: Column) -> Column:
 
 
 def covering_layout(groups: int = 9, size: int = 9, radius: int = 1, words: int = 5, least: float = 0.8) -> minhash.Layout:
-    """The same masks over the places of a sketch instead of bits: each of the groups has covering tables of its own.
+    """The covering tables of the SimHash bits, by which texts within its radius meet for certain, and the same masks over the places of a sketch for what
+    lies beyond: each of the groups has covering tables of its own.
 
     Texts whose sketches differ in groups * (radius + 1) - 1 places at most differ in `radius` places at most in some group, and so
     meet in a table for certain; beyond that most do.
     """
     vectors = (1 << radius + 1) - 1
     kept = [tuple(i for i in range(size) if (i % vectors + 1 & v).bit_count() & 1) for v in range(1, vectors + 1)]
-    return minhash.Layout(tuple(tuple(g * size + i for i in own) for g in range(groups) for own in kept), words, least)
+    return minhash.Layout(tuple(tuple(g * size + i for i in own) for g in range(groups) for own in kept), words, least, tuple(table_masks()))
 
 
 #: For whole texts of five-word similarity 0.8: a pair at the bound differs in 16 of 81 places on average; it meets for certain up

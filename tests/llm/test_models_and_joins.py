@@ -198,3 +198,17 @@ def test_near_copies_leave_the_pipeline(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
+
+
+def test_near_fingerprints_meet_in_a_covering_table_of_the_pipeline():
+    from tamis.llm import simhash
+    from tamis.operators import minhash
+
+    sketcher = minhash.Sketcher(simhash.TEXTS)
+    hashes = np.unique(np.random.default_rng(2).integers(0, 1 << 64, 40_000, dtype=np.uint64))
+    bits = [sum(int(h) >> i & 1 for h in hashes[:300]) * 2 > 300 for i in range(64)]
+    assert int(sketcher.fingerprint(hashes[:300])) == sum(1 << i for i, on in enumerate(bits) if on)
+    # one hash of 40,000 more: fingerprints within two bits, and so a common bucket
+    one, other = sketcher.fingerprint(hashes), sketcher.fingerprint(hashes[1:])
+    assert int(one ^ other).bit_count() <= 2
+    assert len(sketcher.keys(hashes)) == len(simhash.TEXTS.tables) + 7 and (sketcher.keys(hashes)[-7:] == sketcher.keys(hashes[1:])[-7:]).any()
