@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions import grams as G
 from tamis.functions import text as T
-from tamis.operators import ordered, planning
+from tamis.operators import ordered, phrases, planning
 
 #: Bars of scores (inclusive), headroom, re-anchoring and the largest base rate of a rule.
 BAR, FLOOR, CEILING, STEP, LEAST, MOST_RATE = 0.80, 0.05, 0.95, 0.05, 0.60, 0.30
@@ -103,10 +103,7 @@ def base_rates(spark, d):
 
 def phrase_gains(spark, d):
     """The 50 phrases of two to four words that a vocabulary would gain most by: fewer units times occurrences, ties by the phrase."""
-    worded = _t(spark, d, "documents").select(T.words(F.col("text")).alias("w"))
-    each = worded.select(F.explode_outer(F.concat(*(G.grams(F.col("w"), n) for n in (2, 3, 4)))).alias("phrase")).where("phrase is not null")
-    counted = each.groupBy("phrase").agg(F.count("*").alias("n"))
-    return counted.select("phrase", "n", ((F.size(F.split("phrase", " ")) - 1) * F.col("n")).alias("gain")).orderBy(F.desc("gain"), "phrase").limit(50)
+    return phrases.heaviest(_t(spark, d, "documents"), (2, 3, 4), 50)
 
 
 def unseen_words(spark, d):

@@ -113,3 +113,32 @@ def test_streams_do_not_depend_on_batches(spark, tmp_path):
         spark.createDataFrame(rows[i : i + 3] if i == 0 else rows[3:], "doc_id long, source string, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     got = {r["doc_id"] for n in (1, 10) for r in stream.first_documents(spark, str(tmp_path / "in"), "*.parquet", n).collect()}
     assert got == {2, 3, 5}
+
+
+def test_heaviest_phrases_equal_brute_force_however_few_slots_there_are(spark):
+    from collections import Counter
+
+    from tamis.operators import phrases
+
+    draw = random.Random(5)
+    texts = [None, "", "one", "a'b a'b a'b", *(" ".join(draw.choice("abcdefghij") * draw.randint(1, 3) for _ in range(draw.randint(1, 40))) for _ in range(60))] * 2
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for sizes, by_text, slots, first in (((2, 3, 4), False, 256, 3), ((2, 3, 4), False, 64, 1), ((2,), True, 128, 5), ((3, 2), True, 1 << 10, 1 << 12)):
+        each = [[" ".join(w[i : i + n]) for n in sizes for i in range(len(w) - n + 1)] for w in ((t or "").split() for t in texts)]
+        n = Counter(p for own in each for p in (set(own) if by_text else own))
+        want = sorted(((p, c, p.count(" ") * c) for p, c in n.items()), key=lambda x: (-x[2], x[0]))
+        for most in (7, 40, len(want) + 5):
+            got = phrases.heaviest(rows, sizes, most, by_text=by_text, slots=slots, first=first)
+            assert [tuple(r) for r in got.collect()] == want[:most]
+    assert not phrases.heaviest(rows.where("text is null"), (2, 3), 9).collect()
+
+
+def _files_read(spark, query, folder):
+    spark.createDataFrame([(i, f"x{chr(97 + i % 26)} y{chr(97 + i // 26)} of the z") for i in range(200)], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return query(spark, str(folder)).inputFiles()
+
+
+def test_phrase_gains_ranks_a_table_of_the_heaviest_instead_of_all_phrases(spark, tmp_path):
+    from tamis.plans import judging
+
+    assert not [f for f in _files_read(spark, judging.phrase_gains, tmp_path) if "documents.parquet" in f]
