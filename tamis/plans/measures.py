@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tamis.functions import grams as G
 from tamis.functions import text as T
 from tamis.functions.html import html_text
-from tamis.operators import minhash, ordered
+from tamis.operators import minhash, ordered, phrases
 from tamis.session import Scratch
 from tamis.sources import jsonl, ranges
 from tamis.streaming import events as stream
@@ -21,12 +21,11 @@ def _t(spark, d, name) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _grams(rows: DataFrame, n: int, key: str, distinct: bool = False) -> DataFrame:
+def _grams(rows: DataFrame, n: int, key: str) -> DataFrame:
     """(key, g) of every run of n words. Words are a column of their own, and the explode an outer one: else Spark repeats the
     regular expression inside the lambda, or in a filter on the array's size, once for each word."""
     worded = rows.select(key, T.words(F.col("text")).alias("w"))
-    runs = G.grams(F.col("w"), n)
-    return worded.select(key, F.explode_outer(F.array_distinct(runs) if distinct else runs).alias("g")).where("g is not null")
+    return worded.select(key, F.explode_outer(G.grams(F.col("w"), n)).alias("g")).where("g is not null")
 
 
 def late_text(spark, d):
@@ -47,8 +46,7 @@ def window_hashes(spark, d):
 
 def word_pairs(spark, d):
     """The 100 commonest pairs of neighbouring words by documents, ties by the pair."""
-    each = _grams(_t(spark, d, "documents"), 2, "doc_id", distinct=True)
-    return each.groupBy(F.col("g").alias("pair")).agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "pair").limit(100)
+    return phrases.heaviest(_t(spark, d, "documents"), (2,), 100, by_text=True).select(F.col("phrase").alias("pair"), F.col("n").alias("docs"))
 
 
 def top_word_overlap(spark, d):

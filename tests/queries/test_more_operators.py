@@ -142,3 +142,9 @@ def test_phrase_gains_ranks_a_table_of_the_heaviest_instead_of_all_phrases(spark
     from tamis.plans import judging
 
     assert not [f for f in _files_read(spark, judging.phrase_gains, tmp_path) if "documents.parquet" in f]
+
+
+def test_word_pairs_ranks_a_table_of_the_commonest_instead_of_all_pairs(spark, tmp_path):
+    from tamis.plans import measures
+
+    assert not [f for f in _files_read(spark, measures.word_pairs, tmp_path) if "documents.parquet" in f]
