@@ -148,3 +148,18 @@ def test_word_pairs_ranks_a_table_of_the_commonest_instead_of_all_pairs(spark, t
     from tamis.plans import measures
 
     assert not [f for f in _files_read(spark, measures.word_pairs, tmp_path) if "documents.parquet" in f]
+
+
+def test_shingle_hashes_are_those_of_the_joined_words_and_fold_each_character_once(monkeypatch):
+    import unicodedata
+    from types import SimpleNamespace
+
+    texts = [None, "", "...", "a b", "a  B c", "a b c d e", "a b c d e f a b c d e", "a_b É00 100 x", "x\x1cy\x00z 1000 a0b00c", "１２ ٣٤ ﬁ ™ İ ß ̈a", "\ud800 q"]
+    for text in texts:
+        want = {minhash.xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) for s in minhash.shingles(text)}
+        assert minhash.shingle_hashes(text).tolist() == sorted(want)
+    assert minhash.folded("É00 100 ×٣٤ İx_007") == "e0 0 ×0 ix_0" and minhash.folded("A0b00C1000") == "a0b0c0"
+    asked = []
+    category = lambda c: asked.append(c) or unicodedata.category(c)
+    monkeypatch.setattr(minhash, "unicodedata", SimpleNamespace(normalize=unicodedata.normalize, category=category))
+    assert minhash.folded("é à " * 500) == "e a " * 500 and len(asked) <= 5
