@@ -22,15 +22,14 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: States and token pairs beyond which a worker starts those tables anew, and cached strings beyond which it lets the older half go.
-MOST_STATES, MOST_PAIRS, MOST_CACHED = 100_000, 500_000, 1_000_000
+#: States and token pairs beyond which a worker starts those tables anew, and cached strings (240 bytes each with their ids) beyond which it lets the older half go.
+MOST_STATES, MOST_PAIRS, MOST_CACHED = 100_000, 500_000, 300_000
 #: Rows whose texts are Python strings at a time.
 ROWS = 256
 #: Pieces that are encoded at a time, so that a very long text is never held as one list of ids.
@@ -359,21 +358,17 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
 
 
 def tokenise(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, n_tokens, ids, and whether the ids decode to the text, of every row; null and empty texts have no ids."""
+    """Key, n_tokens, ids, and whether the ids decode to the text, of every row; null and empty texts have no ids.
 
-    @F.arrow_udf("struct<ids:array<int>,exact:boolean>")
-    def coded(texts: pa.Array) -> pa.Array:
-        coder = codec(path, pattern)
-        ids, ends, exact = array("I"), [0], []
-        for at in range(0, len(texts), ROWS):
-            for t in texts.slice(at, ROWS).to_pylist():
-                start = len(ids)
-                for block in coder.blocks(t or ""):
-                    ids.extend(block)
-                ends.append(len(ids))
-                back = coder.stream((memoryview(ids)[at : at + BLOCK] for at in range(start, len(ids), BLOCK)), "surrogateescape")
-                exact.append("".join(back) == (t or ""))
-        flat = pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32))
-        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(exact, pa.bool_())], ["ids", "exact"])
-
-    return docs.select(key, coded(F.col(text)).alias("c")).select(key, F.size("c.ids").cast("long").alias("n_tokens"), "c.ids", "c.exact")
+    By rows, not Arrow batches: those hold up to 10,000 texts and all their ids at a time, in the executor and in Python.
+    """
+
+    def coded(t: str | None) -> tuple[array, bool]:
+        coder, ids = codec(path, pattern), array("i")
+        for block in coder.blocks(t or ""):
+            ids.frombytes(block.tobytes())
+        back = coder.stream((memoryview(ids)[at : at + BLOCK] for at in range(0, len(ids), BLOCK)), "surrogateescape")
+        return ids, "".join(back) == (t or "")
+
+    codes = F.udf(coded, "struct<ids:array<int>,exact:boolean>", useArrow=False)
+    return docs.select(key, codes(F.col(text)).alias("c")).select(key, F.size("c.ids").cast("long").alias("n_tokens"), "c.ids", "c.exact")

@@ -3,10 +3,13 @@
 import hashlib
 import re
 import struct
+import tracemalloc
 
 import numpy as np
 import pytest
 import tiktoken
+import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -96,6 +99,34 @@ def test_pairs_of_tables_are_bounded(monkeypatch):
     assert len(coder.fst.suits) <= 10
 
 
+def test_cached_strings_take_bounded_memory():
+    tracemalloc.start()
+    ids = byte_bpe._Ids(lambda piece: piece.encode())
+    for i in range(600_000):
+        ids[f"{i:08d}"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids["00599999"] == b"00599999" and peak < 100e6
+
+
+def test_tokens_and_sketches_go_to_python_by_rows(spark):
+    path, pattern = byte_bpe.default_vocabulary()
+    docs = spark.createDataFrame(ODD, "doc_id long, text string")
+    found = byte_bpe.tokenise(docs, path, pattern)
+    marked = docs.select("text", minhash.signature(F.col("text"), simhash.TEXTS).alias("s"), minhash.shingle_set(F.col("text"), 5).alias("set"))
+    for df in (found, marked.select("s.*", "set")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan and plan.count("BatchEvalPython") == 1
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    want = [(k, own.encode_ordinary(t or "")) for k, t in ODD]
+    assert sorted(map(repr, found.collect())) == sorted(repr(Row(doc_id=k, n_tokens=len(ids), ids=ids, exact=True)) for k, ids in want)
+    sketcher = minhash.Sketcher(simhash.TEXTS)
+    for r in marked.collect():
+        hashes = minhash.shingle_hashes(r.text)
+        assert r.set == hashes.view(np.int64).tolist() and r.s["keys"] == sketcher.keys(hashes).tolist()
+        assert (bytes(r.s["digest"]), r.s["size"]) == (xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes))
+
+
 def newton(x, target, keep, clip, iterations=400):
     """Another way to the same minimum: plain gradient steps with a backtracking line search, from zero."""
     beta = np.zeros(x.shape[1])
