@@ -106,7 +106,7 @@ def test_cached_strings_take_bounded_memory():
         ids[f"{i:08d}"]
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert ids["00599999"] == b"00599999" and peak < 100e6
+    assert ids["00599999"] == b"00599999" and peak < 50e6
 
 
 def test_tokens_and_sketches_go_to_python_by_rows(spark):
