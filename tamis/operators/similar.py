@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.session import Scratch
 
+#: So many lists that are equal but for one place meet each other in one go; more are dealt to blocks of about this many.
+BLOCK = 1000
+
 
 def word_edits(a: list[str], b: list[str], cap: int) -> int:
     """Insertions, deletions and replacements of words between two lists; cap + 1 if there are more. Only the cells within `cap` of the diagonal are filled."""
@@ -78,32 +81,42 @@ def within_edits(rows: DataFrame, key: str, words: str, cap: int, group: str | N
 
 
 def _one_edit(rows: DataFrame, key: str, words: str, group: str | None) -> DataFrame:
-    """within_edits at a cap of 1. Lists that differ by a replaced word are equal but for one place, and so meet by a hash of length, place and the rest; of lists that differ
-    by a word more, the longer without it is the shorter; equal ones meet as they are. So all that meets is a pair, but for collisions, which the words show.
-    Hashes carry numbers of rows, not words, and only those that are met go on.
+    """within_edits at a cap of 1. Lists that differ by a replaced word are equal but for one place, and so meet by the place and the rest; of lists that differ
+    by a word more, the longer without it is the shorter; equal ones meet as they are.
+
+    Hashes of the rests carry numbers of rows, and only rows whose hash is met fetch their words. Then lists meet by the rest itself: all that meets is
+    a pair and meets once, so pairs are neither verified nor made distinct, only written. Lists that share a place and a rest are dealt to blocks, and
+    each two blocks meet by themselves, so no task holds all pairs of a frequent line.
     """
     scratch = Scratch(rows.sparkSession, "edits")
     plain = rows.select(F.col(key).alias("k"), F.col(words).alias("w"), (F.col(group) if group else F.lit(0)).alias("g")).where("k is not null and w is not null and g is not null")
     plain = scratch.keep(plain.select(F.monotonically_increasing_id().alias("id"), "k", "w", "g"), "lists")  # written, so a list keeps its number
-    n = F.size("w")
-    rest = lambda w, i: F.concat(F.slice(w, F.lit(1), i), F.slice(w, i + 2, F.greatest(F.size(w) - i - 1, F.lit(0))))
-    meeting = lambda h, kind: F.struct(h.alias("h"), F.lit(kind).cast("byte").alias("kind"))
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    lefts = plain.select("id", "g", "w", F.transform(places, lambda i: F.struct(i.alias("i"), rest(F.col("w"), i).alias("rest"))).alias("lefts"))
-    replaced = F.transform("lefts", lambda x: meeting(F.xxhash64("g", F.size("w"), x["i"], x["rest"]), 1))
-    shorter = F.transform(F.array_distinct(F.transform("lefts", lambda x: F.xxhash64("g", F.size("w") - 1, F.lit(-1), x["rest"]))), lambda h: meeting(h, 2))
-    whole = F.array(meeting(F.xxhash64("g", F.size("w"), F.lit(-1), "w"), 0))
-    hashes = lefts.select("id", F.explode(F.concat(whole, replaced, shorter)).alias("m")).select("id", "m.h", "m.kind")
-    hashes = scratch.keep(hashes, "hashes")
-    # a list without a word is met by whole lists only, a list but for a place by others of that place
-    a, b = hashes.where("kind < 2").alias("a"), hashes.alias("b")
-    meets = (F.col("a.h") == F.col("b.h")) & (((F.col("a.kind") == F.col("b.kind")) & (F.col("a.id") < F.col("b.id"))) | ((F.col("a.kind") == 0) & (F.col("b.kind") == 2)))
-    pairs = scratch.keep(a.join(b.hint("merge"), meets).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct(), "pairs")
-    scratch.drop("hashes")
-    side = lambda name: plain.select(F.col("id").alias(name), F.struct("k", "w", "g").alias(f"{name}_"))
-    both = pairs.join(side("x").hint("merge"), "x").join(side("y").hint("merge"), "y")
-    checked = both.where("x_.g = y_.g").withColumn("edits", edits(F.col("x_.w"), F.col("y_.w"), 1)).where(F.col("edits") <= 1)
-    return checked.select(F.least("x_.k", "y_.k").alias("a"), F.greatest("x_.k", "y_.k").alias("b"), "edits")
+    # without the word at place i, from 0; the whole list has place -1
+    rest = F.concat(F.slice("w", F.lit(1), F.greatest(F.col("i"), F.lit(0))), F.slice("w", F.col("i") + 2, F.size("w") - F.col("i") - 1))
+    # places become rows before rests are made: a lambda that makes them is not compiled, and takes four times as long
+    hashes = plain.withColumn("i", F.explode_outer(F.sequence(F.lit(-1), F.size("w") - 1))).select("id", "i", F.xxhash64("g", rest).alias("h"))
+    alike, placed = Window.partitionBy("h"), Window.partitionBy("h", "i")
+    met = hashes.withColumn("n", F.count("*").over(alike)).withColumn("whole", F.count_if(F.col("i") < 0).over(alike)).where("n > 1")
+    met = met.withColumn("m", F.count("*").over(placed)).where("m > 1 or (whole > 0 and n > whole)").select("id", "h", "i", "m")
+    # words of a run leave the same rest, so the first stands for the run where a word is left out
+    first = (F.col("i") == 0) | ((F.col("i") > 0) & ~F.get("w", F.col("i")).eqNullSafe(F.get("w", F.col("i") - 1)))
+    known = met.join(plain.hint("merge"), "id").select("id", "h", "i", "m", "k", "g", rest.alias("rest"), F.get("w", F.col("i")).alias("word"), first.alias("first"))
+    known = scratch.keep(known, "met")
+    scratch.drop("lists")
+
+    def pairs(a: DataFrame, b: DataFrame, keys: list[str], fits: Column | None) -> DataFrame:
+        same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*keys, "g", "rest")]
+        both = a.alias("a").join(b.hint("merge").alias("b"), same if fits is None else [*same, fits])
+        apart = F.when((F.col("a.i") < 0) & (F.col("b.i") < 0), 0).otherwise(1)
+        return both.select(F.least("a.k", "b.k").alias("a"), F.greatest("a.k", "b.k").alias("b"), apart.alias("edits"))
+
+    blocks, block = F.ceil(F.col("m") / BLOCK).cast("int"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = known.where("m > 1").withColumn("blocks", blocks).withColumn("block", block)
+    left = dealt.select("*", F.col("block").alias("p"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("q"))
+    right = dealt.select("*", F.explode(F.sequence(F.lit(0), "block")).alias("p"), F.col("block").alias("q"))
+    once = (F.col("a.block") < F.col("b.block")) | (F.col("a.id") < F.col("b.id"))
+    replaced = pairs(left, right, ["h", "i", "p", "q"], once & ((F.col("a.i") < 0) | ~F.col("a.word").eqNullSafe(F.col("b.word"))))
+    return replaced.unionByName(pairs(known.where("i < 0"), known.where("first"), ["h"], None))
 
 
 def similar_sets(rows: DataFrame, key: str, items: str, bound: tuple[int, int], group: str | None = None) -> DataFrame:

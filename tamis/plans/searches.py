@@ -37,12 +37,12 @@ def late_commits(spark, d):
 
 def near_lines(spark, d):
     """Lines of 3 to 12 words that are one word edit apart, by their first documents; copies of a line count once."""
-    lines = _t(spark, d, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "[\n.]")).alias("line"))
-    worded = lines.select("doc_id", F.array_join(T.words(F.col("line")), " ").alias("line")).where("line <> ''")
-    once = worded.groupBy("line").agg(F.min("doc_id").alias("doc_id")).withColumn("w", F.split("line", " ")).where("size(w) between 3 and 12")
-    kept = Scratch(spark, "lines").keep(once.select(F.struct("line", "doc_id").alias("key"), "w"), "lines")
+    # words are found where lines are split, and the explode is outer: else filters on them find them again
+    worded = F.transform(F.split(F.coalesce("text", F.lit("")), "[\n.]"), lambda line: T.words(line))
+    lines = _t(spark, d, "documents").select("doc_id", F.explode_outer(F.filter(worded, lambda w: F.size(w).between(3, 12))).alias("w")).where("w is not null")
+    once = lines.groupBy(F.array_join("w", " ").alias("line")).agg(F.min("doc_id").alias("doc_id"))
     # keys bring their documents, so no line is looked up again
-    pairs = similar.within_edits(kept, "key", "w", 1)
+    pairs = similar.within_edits(once.select(F.struct("line", "doc_id").alias("key"), F.split("line", " ").alias("w")), "key", "w", 1)
     return pairs.select(F.col("a.line").alias("a"), F.col("b.line").alias("b"), F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), F.col("edits").cast("long").alias("edits"))
 
 

@@ -179,6 +179,17 @@ def test_lines_that_share_a_frequent_word_are_not_compared(spark, monkeypatch):
     assert similar.within_edits(rows, "id", "w", 1).collect() == []
 
 
+def test_pairs_one_edit_apart_are_only_written(spark, monkeypatch):
+    """Lists meet by what is equal, in blocks, so nothing is done for each pair in Python."""
+    r = random.Random(5)
+    words = [["we", "go", f"w{i}", "now"] for i in range(50)] + [["we", "go", "now"]] * 3 + [[r.choice(["a", "b", "a b", None]) for _ in range(r.randint(0, 4))] for _ in range(80)]
+    want = [(i, j, e) for i, j in itertools.combinations(range(len(words)), 2) if (e := similar.word_edits(words[i], words[j], 1)) <= 1]
+    monkeypatch.setattr(similar, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(similar, "edits", lambda a, b, cap: F.raise_error(F.lit("compared")).cast("int"))
+    rows = spark.createDataFrame(list(enumerate(words)), "id long, w array<string>")
+    assert sorted(map(tuple, similar.within_edits(rows, "id", "w", 1).collect())) == want
+
+
 def test_one_edit_in_all_its_forms(spark):
     from tamis.operators import similar
 
